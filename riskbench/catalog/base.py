@@ -157,6 +157,11 @@ ledger AS (
     )
 
 
+def rounded(name: str, expr: str | None = None) -> str:
+    """SQL twin of ``functions.numbers.shown``."""
+    return f"round({expr or name}, {9 if name in ('brier', 'ece') else 6}) AS {name}"
+
+
 def ctes(*parts: str) -> str:
     return "WITH " + ",".join(p.strip("\n") for p in parts) + "\n"
 

@@ -10,6 +10,16 @@ def r6(c: Column) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
+def r9(c: Column) -> Column:
+    """Nine decimals, for means of short decimals that would often lie on a rounding tie at six."""
+    return F.round(c, 9) + F.lit(0.0)
+
+
+def shown(name: str) -> Column:
+    """A metric column rounded for comparison."""
+    return (r9 if name in ("brier", "ece") else r6)(F.col(name))
+
+
 def sum_when(cond: Column, value: Column | int = 1) -> Column:
     v = value if isinstance(value, Column) else F.lit(value)
     return F.coalesce(F.sum(F.when(cond, v)), F.lit(0))

@@ -30,7 +30,7 @@ def _cell(v):
     if isinstance(v, bool):
         return f"b{v}"
     if isinstance(v, float):
-        return f"f{v:.6f}" if v != 0 else "f0.000000"
+        return f"f{v:.9f}" if v != 0 else "f0.000000000"
     if isinstance(v, int):
         return f"i{v}"
     if isinstance(v, (list, tuple)):
