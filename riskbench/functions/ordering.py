@@ -23,13 +23,14 @@ def fit_cuts(
     groups: Sequence[str],
     order: str,
     row_bound: int | None = None,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame | None:
     """Cut points of the order key for every group above ``rows_per_range`` rows; None if there is no such group.
 
     ``row_bound`` is a known upper bound of any group's rows (for example the row count in the Parquet footers): when it is
     small enough, no job runs. The result holds at most one cut per ``rows_per_range`` input rows, so it stays small.
     """
+    rows_per_range = rows_per_range or ROWS_PER_RANGE
     if row_bound is not None and row_bound <= rows_per_range:
         return None
     groups = list(groups)
@@ -117,14 +118,14 @@ def rank_by_draw(
     tie: str,
     largest_group: int,
     out: str = "position",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """1-based position in each group in the order of a ``draw_key`` column.
 
     The key is uniform, so equal slices of its leading 32 bits are equal shares of the rows; no cut points are fitted.
     """
     groups = list(groups)
-    slices = max(1, -(-largest_group // rows_per_range))
+    slices = max(1, -(-largest_group // (rows_per_range or ROWS_PER_RANGE)))
     if slices == 1:
         return df.withColumn(out, F.row_number().over(W.partitionBy(*groups).orderBy(draw, tie)).cast("long"))
     lead = F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))

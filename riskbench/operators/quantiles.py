@@ -30,14 +30,20 @@ def exact_quantiles(
     long: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], row_bound: int | None = None
 ) -> DataFrame:
     """One row per group with columns q0, q1, ... for the probabilities; nulls are skipped."""
-    groups = list(groups)
     known = long.where(F.col(value).isNotNull())
-    distinct = known.groupBy(*groups, value).agg(F.count("*").alias("c"))
-    cuts = O.fit_cuts(known, groups, value, row_bound)
-    run = O.running_sums(distinct, groups, value, ["c"], cuts=cuts)
+    counts = known.groupBy(*groups, value).agg(F.count("*").alias("_c"))
+    return quantiles_of_counts(counts, groups, value, "_c", probs, O.fit_cuts(known, groups, value, row_bound))
+
+
+def quantiles_of_counts(
+    counts: DataFrame, groups: Sequence[str], value: str, weight: str, probs: Sequence[float], cuts: DataFrame | None = None
+) -> DataFrame:
+    """As ``exact_quantiles``, over distinct values with a row count each."""
+    groups = list(groups)
+    run = O.running_sums(counts, groups, value, [weight], cuts=cuts)
     aggs = []
     for i, q in enumerate(probs):
-        lo, hi, frac = _interpolated(q, value, "cum_c", "c", "total_c")
+        lo, hi, frac = _interpolated(q, value, f"cum_{weight}", weight, f"total_{weight}")
         aggs += [lo.alias(f"lo{i}"), hi.alias(f"hi{i}"), frac.alias(f"fr{i}")]
     cells = run.groupBy(*groups).agg(*aggs)
     return cells.select(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import schema as S
 from ..functions import ordering as O
+from ..functions.joins import join_hot_apart
 from ..functions.numbers import sum_when
 
 
@@ -215,10 +216,7 @@ def repeated_group_folds(
         F.size(F.filter("ends", lambda e: e < 1)).alias("fold"),
     )
     rows = df.select(S.ID, target, F.col(group).alias("group_id"))
-    hot_ids = alone.select("group_id").distinct()
-    cold = rows.join(F.broadcast(hot_ids), "group_id", "left_anti").join(dealt, "group_id")
-    hot = rows.join(F.broadcast(alone), "group_id")
-    out = cold.unionByName(hot)
+    out = join_hot_apart(rows, alone, dealt, ["group_id"])
     return out.select(S.ID, target, F.col("group_id").alias(group), "rep", "fold")
 
 
