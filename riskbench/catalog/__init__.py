@@ -2,5 +2,5 @@
 
 from .base import QUERIES, SQL  # noqa: F401
 from . import (  # noqa: F401
-    clinical_and_contract, audit_and_splits, metric_queries, report_queries, feature_queries, similarity_queries,
+    clinical_and_contract, audit_and_splits, metric_queries, report_queries, feature_queries, similarity_queries, model_queries,
 )
