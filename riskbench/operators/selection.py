@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -17,6 +16,7 @@ from ..functions import ordering as O
 from ..functions.joins import join_hot_apart
 from ..functions.numbers import count_below
 from ..schema import CANDIDATE_FEATURES, ID, ContractError
+from ..session import stored
 from . import fold_stats as FS
 from .contract import require_columns
 
@@ -114,31 +114,53 @@ def stability(selected: DataFrame) -> DataFrame:
 
 
 def _pair_correlations(ranks: DataFrame, features: Sequence[str], groups: Sequence[str]) -> DataFrame:
-    """(groups..., a, b, rho) with a < b in list order, from one column of ranks per feature; undefined is 0."""
-    pairs = list(combinations(features, 2))
-    names = {p: f"_c{i}" for i, p in enumerate(pairs)}
-    one = ranks.groupBy(*groups).agg(*[F.corr(a, b).alias(names[(a, b)]) for a, b in pairs])
+    """(groups..., a, b, rho) with a < b in list order, from one column of centred ranks per feature; undefined is 0.
+
+    Centred ranks sum to zero, so a correlation needs only sums of products.
+    """
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
+    at = {p: i for i, p in enumerate(pairs)}
+    one = ranks.groupBy(*groups).agg(*[F.sum(F.col(a) * F.col(b)).alias(f"_s{at[(a, b)]}") for a, b in pairs])
+
+    def s(a: str, b: str) -> Column:
+        return F.col(f"_s{at[(a, b)]}")
+
     cells = F.array(
         *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(F.coalesce(F.nanvl(F.col(names[(a, b)]), F.lit(0.0)), F.lit(0.0))).alias("rho"))
+            F.struct(
+                F.lit(a).alias("a"),
+                F.lit(b).alias("b"),
+                F.coalesce(F.abs(F.try_divide(s(a, b), F.sqrt(s(a, a)) * F.sqrt(s(b, b)))), F.lit(0.0)).alias("rho"),
+            )
             for a, b in pairs
+            if a != b
         ]
     )
     return one.select(*groups, F.inline(cells))
 
 
-def train_spearman(df: DataFrame, features: Sequence[str], target: str, k: int, row_bound: int | None = None) -> DataFrame:
+def train_spearman(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    k: int,
+    row_bound: int | None = None,
+    fill: DataFrame | None = None,
+    values: DataFrame | None = None,
+) -> DataFrame:
     """(rep, fold, a, b, rho): absolute Spearman correlation on median-filled training rows.
 
     Ranks are found per distinct value and fold, packed into one array per value, and joined to the rows once; common
     values (flags, codes, missing) are broadcast. Rows are expanded to their training folds only inside the map-side
-    aggregation of the correlations.
+    aggregation of the correlations. ``fill`` and ``values`` are the training medians and values, if they are there already.
     """
     features = list(features)
-    fill = FS.train_medians(df, features, k, row_bound)
-    values = FS.train_values(df, features, target, k, fill).withColumn("n", F.col("n0") + F.col("n1"))
+    fill = fill if fill is not None else FS.train_medians(df, features, k, row_bound)
+    values = values if values is not None else FS.train_values(df, features, target, k, fill)
+    values = values.withColumn("n", F.col("n0") + F.col("n1"))
     run = O.running_sums(values, GROUP, "value", ["n"], cuts=O.fit_cuts(values, GROUP, "value", row_bound))
-    rank = run.select(*GROUP, "value", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("rank"))
+    centred = (F.col("cum_n") - (F.col("n") - 1) / 2.0 - (F.col("total_n") + 1) / 2.0) / F.col("total_n")
+    rank = run.select(*GROUP, "value", centred.alias("rank"))
 
     long = FS.long_values(df, features, ("rep", "fold", ID)).withColumn("missing", F.col("value").isNull())
     seen = long.groupBy("rep", "feature", "value", "missing").agg(F.count("*").alias("rows"))
@@ -190,13 +212,27 @@ def greedy(mi: dict[str, float], rho: dict[tuple[str, str], float], k: int, pena
 def select_features(
     df: DataFrame, target: str, k_folds: int, k: int = 8, penalty: float = 0.5, n_bins: int = 8, row_bound: int | None = None
 ) -> DataFrame:
-    """(rep, fold, rank, feature, score): selection on the training rows of every fold.
+    """(rep, fold, rank, feature, score): selection on the training rows of every fold."""
+    return fit_selection(df, target, k_folds, k, penalty, n_bins, row_bound)[0]
+
+
+def fit_selection(
+    df: DataFrame, target: str, k_folds: int, k: int = 8, penalty: float = 0.5, n_bins: int = 8, row_bound: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The selection, the training medians (rep, fold, feature, median), and the stored candidate columns.
 
-    The statistics are Spark jobs over all folds together; the greedy step reads 12 relevances and 66 correlations per fold.
+    The candidate columns are written once, since several passes read a few of them each; so are the distinct training
+    values. The statistics are Spark jobs over all folds together; the greedy step reads 12 relevances and 66 correlations
+    per fold.
     """
     require_columns(df, CANDIDATE_FEATURES)
-    mi = train_information(df, CANDIDATE_FEATURES, target, k_folds, n_bins, row_bound).collect()
-    rho = train_spearman(df, CANDIDATE_FEATURES, target, k_folds, row_bound).collect()
+    spark = df.sparkSession
+    rows = stored(df.select(ID, target, "rep", "fold", *CANDIDATE_FEATURES), "candidates")
+    medians = FS.train_medians(rows, CANDIDATE_FEATURES, k_folds, row_bound)
+    fill = spark.createDataFrame([tuple(r) for r in medians.collect()], medians.schema)  # folds x features rows
+    values = stored(FS.train_values(rows, CANDIDATE_FEATURES, target, k_folds, fill), "train-values")
+    mi = binned_information(values, FS.value_edges(values, n_bins, row_bound)).collect()
+    rho = train_spearman(rows, CANDIDATE_FEATURES, target, k_folds, row_bound, fill, values).collect()
     if not mi:
         raise ContractError("no rows to select features from")
     by_fold: dict[tuple[int, int], tuple[dict, dict]] = {}
@@ -209,7 +245,7 @@ def select_features(
         for (rep, fold), (m, c) in sorted(by_fold.items())
         for i, (f, s) in enumerate(greedy(m, c, k, penalty), 1)
     ]
-    return df.sparkSession.createDataFrame(out, "rep int, fold int, rank int, feature string, score double")
+    return spark.createDataFrame(out, "rep int, fold int, rank int, feature string, score double"), fill, rows
 
 
 def support(selected: DataFrame) -> DataFrame:

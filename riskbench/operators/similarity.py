@@ -43,53 +43,81 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def moment(units: DataFrame, unit: str, width: int, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., i, j, m) for i <= j: sums of products of unit coordinates. width * (width + 1) / 2 rows per group.
+    """(by..., i, j, m): sums of products of unit coordinates. width * width rows per group.
 
-    Each row is expanded only inside the map-side aggregation.
+    Each task adds up its own rows as matrix products and emits one matrix per group it has seen; Spark adds the tasks' matrices.
     """
-    cells = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(width - 1)),
-            lambda i: F.transform(
-                F.sequence(i, F.lit(width - 1)),
-                lambda j: F.struct(i.alias("i"), j.alias("j"), (F.get(unit, i) * F.get(unit, j)).alias("p")),
-            ),
-        )
-    )
-    return units.select(*by, F.inline(cells)).groupBy(*by, "i", "j").agg(F.sum("p").alias("m"))
+    by = list(by)
+    key_fields = ", ".join(f"{units.schema[c].name} {units.schema[c].dataType.simpleString()}" for c in by)
+    schema = (key_fields + ", " if by else "") + "i int, j int, m double"
+
+    def partial(batches):
+        import numpy as np
+        import pandas as pd
+
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            groups = pdf.groupby(by, dropna=False)[unit] if by else [((), pdf[unit])]
+            for k, v in groups:
+                if len(v):
+                    x = np.stack(v.to_numpy())
+                    sums[k] = sums.get(k, 0.0) + x.T @ x
+        i, j = np.divmod(np.arange(width * width), width)
+        for k, m in sums.items():
+            keys = dict(zip(by, k if isinstance(k, tuple) else (k,)))
+            yield pd.DataFrame({**keys, "i": i.astype("int32"), "j": j.astype("int32"), "m": m.ravel()})
+
+    return units.select(*by, unit).mapInPandas(partial, schema).groupBy(*by, "i", "j").agg(F.sum("m").alias("m"))
+
+
+MAX_MOMENTS = 8_000_000
+
+
+def _matrices(df: DataFrame, vector: str, by: str, width: int) -> dict:
+    """Moment matrix of each group, on the driver to be sent to the tasks: groups x width^2 numbers, checked.
+
+    The group is a class label or a fold. Its number of levels is counted first.
+    """
+    import numpy as np
+
+    levels = df.select(by).distinct().limit(MAX_MOMENTS // (width * width) + 1).count()
+    if levels * width * width > MAX_MOMENTS:
+        raise BudgetError(f"{levels} groups of {width} x {width} moments are too many to send to every task")
+    out: dict = {}
+    for r in moment(normalised(df, vector), "unit", width, [by]).collect():
+        out.setdefault(r[by], np.zeros((width, width)))[r["i"], r["j"]] = r["m"]
+    return out
+
 
+def _quadratic_sums(units: DataFrame, keep: Sequence[str], matrices: dict, against: str, against_type: str) -> DataFrame:
+    """(keep..., against, total): x' M x of each row with each group's moment matrix."""
+    fields = ", ".join(f"{units.schema[c].name} {units.schema[c].dataType.simpleString()}" for c in keep)
 
-def _quadratic(unit: Column, matrix: Column) -> Column:
-    """x' M x with M as an array of rows."""
-    rows = F.transform(matrix, lambda r: dot(r, unit))
-    return dot(rows, unit)
+    def forms(batches):
+        import numpy as np
 
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["unit"].to_numpy())
+            for level, m in matrices.items():
+                out = pdf[list(keep)].copy()
+                out[against] = level
+                out["total"] = ((x @ m) * x).sum(1)
+                yield out
 
-def _matrices(moments: DataFrame, width: int, by: Sequence[str]) -> DataFrame:
-    """(by..., matrix): the symmetric moment matrix as an array of rows. width^2 numbers per group."""
-    both = moments.select(*by, F.inline(F.array(F.struct("i", "j", "m"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "m"))))
-    rows = both.dropDuplicates([*by, "i", "j"]).groupBy(*by, "i").agg(F.array_sort(F.collect_list(F.struct("j", "m"))).alias("r"))
-    rows = rows.select(*by, "i", F.transform("r", lambda s: s["m"]).alias("r"))
-    out = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("a"))
-    return out.select(*by, F.transform("a", lambda s: s["r"]).alias("matrix"))
+    return units.select(*keep, "unit").mapInPandas(forms, f"{fields}, {against} {against_type}, total double")
 
 
 def row_sums(df: DataFrame, key: str, vector: str, by: str) -> DataFrame:
-    """(key, own group, by, sum): similarity of each row summed over all rows of each group, itself included.
+    """(key, own group, against, similarity_sum): similarity of each row summed over all rows of each group, itself included.
 
-    Linear in the rows: the groups' moment matrices are broadcast (groups x width^2 numbers; the group column must be a
-    class label or a fold, not a key).
+    Linear in the rows: one pass for the groups' moment matrices, one for the rows.
     """
     width = width_of(df, vector)
-    units = normalised(df, vector).select(key, by, "unit")
-    mats = _matrices(moment(units, "unit", width, [by]), width, [by]).withColumnRenamed(by, "against")
-    groups = mats.count()
-    if groups * width * width > 8_000_000:
-        raise BudgetError(f"{groups} groups of {width} x {width} moments are too many to broadcast")
-    packed = mats.agg(F.collect_list(F.struct("against", "matrix")).alias("_mats"))  # size checked above
-    every = units.crossJoin(F.broadcast(packed))  # one row
-    out = every.select(key, by, "unit", F.inline("_mats"))
-    return out.select(key, by, "against", _quadratic(F.col("unit"), F.col("matrix")).alias("similarity_sum"))
+    mats = _matrices(df, vector, by, width)
+    out = _quadratic_sums(normalised(df, vector), [key, by], mats, "against", df.schema[by].dataType.simpleString())
+    return out.withColumnRenamed("total", "similarity_sum")
 
 
 def total_similarity(df: DataFrame, vector: str) -> DataFrame:
@@ -97,8 +125,7 @@ def total_similarity(df: DataFrame, vector: str) -> DataFrame:
     width = width_of(df, vector)
     units = normalised(df, vector).select("unit")
     n = units.count()
-    weight = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
-    s = moment(units, "unit", width).agg(F.sum(weight * F.col("m") * F.col("m")).alias("all_pairs"))
+    s = moment(units, "unit", width).agg(F.sum(F.col("m") * F.col("m")).alias("all_pairs"))
     pairs = n * (n - 1)
     return s.select(
         F.lit(n).cast("long").alias("n"), "all_pairs", F.try_divide(F.col("all_pairs") - n, F.lit(float(pairs))).alias("mean_similarity")
@@ -110,17 +137,10 @@ def cross_mean(test: DataFrame, train: DataFrame, key: str, vector: str, by: str
     width = width_of(train, vector)
     if width_of(test, vector) != width:
         raise ValueError("test and training vectors differ in width")
-    units = normalised(train, vector).select(by, "unit")
-    mats = _matrices(moment(units, "unit", width, [by]), width, [by])
-    sizes = train.groupBy(by).agg(F.count("*").alias("rows"))
-    table = mats.join(sizes, by)
-    groups = table.count()
-    if groups * width * width > 8_000_000:
-        raise BudgetError(f"{groups} groups of {width} x {width} moments are too many to broadcast")
-    packed = table.agg(F.collect_list(F.struct(by, "rows", "matrix")).alias("_mats"))  # size checked above
-    t = normalised(test, vector).select(key, "unit").crossJoin(F.broadcast(packed))  # one row
-    out = t.select(key, "unit", F.inline("_mats"))
-    return out.select(key, by, "rows", (_quadratic(F.col("unit"), F.col("matrix")) / F.col("rows")).alias("mean_similarity"))
+    mats = _matrices(train, vector, by, width)
+    sizes = train.groupBy(by).agg(F.count("*").alias("rows"))  # one row per group, counted in _matrices
+    out = _quadratic_sums(normalised(test, vector), [key], mats, by, train.schema[by].dataType.simpleString())
+    return out.join(F.broadcast(sizes), by).select(key, by, "rows", (F.col("total") / F.col("rows")).alias("mean_similarity"))
 
 
 def pair_similarity(df: DataFrame, pairs: DataFrame, key: str, vector: str) -> DataFrame:
