@@ -1,3 +1,6 @@
+import os, sys  # noqa: E401
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import os
 import sys
 
