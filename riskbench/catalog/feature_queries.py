@@ -8,6 +8,7 @@ from .. import schema as S
 from ..functions import clinical as C
 from ..functions.numbers import r6
 from ..operators import crosses as X, fold_stats as FS, selection as SEL
+from ..session import stored
 from ..sources import driver_tables as D
 from .base import CLINICAL, SUBJECTS, ctes, folds_sql, register
 
@@ -34,6 +35,11 @@ def folded(spark, sf_dir, repeats: int = REPEATS):
     return c.join(D.folds(spark, sf_dir, 5, repeats).drop("cardio"), S.ID)
 
 
+def folded_once(spark, sf_dir, columns):
+    """The same, written once for a fit and its application."""
+    return stored(folded(spark, sf_dir).select(S.ID, "rep", "fold", *columns), "folded")
+
+
 @register(
     "impute_train_medians",
     ctes(*BASE, _long("long_train", "train", KEEP, _NUM), MEDIANS) + "SELECT rep, fold, feature, round(median, 6) AS median FROM medians",
@@ -49,8 +55,8 @@ def impute_train_medians(spark, sf_dir):
     SELECT record_id, rep, fold, feature, round(COALESCE(value, median), 6) AS value FROM long_test JOIN medians USING (rep, fold, feature)""",
 )
 def impute_medians_applied(spark, sf_dir):
-    df = folded(spark, sf_dir)
-    out = FS.impute(df, FS.train_medians(df, _NUM, 5, D.row_bound(spark, sf_dir)), _NUM)
+    df = folded_once(spark, sf_dir, _NUM)
+    out = FS.impute(df, FS.fitted(FS.train_medians(df, _NUM, 5, D.row_bound(spark, sf_dir))), _NUM)
     return FS.long_values(out, _NUM, (S.ID, "rep", "fold")).withColumn("value", r6(F.col("value")))
 
 
@@ -88,10 +94,10 @@ def scale_train_moments(spark, sf_dir):
 )
 def scale_standardised(spark, sf_dir):
     """Median fill, then training mean and population sd of the filled rows."""
-    df = folded(spark, sf_dir)
-    fill = FS.train_medians(df, _NUM, 5, D.row_bound(spark, sf_dir))
+    df = folded_once(spark, sf_dir, _NUM)
+    fill = FS.fitted(FS.train_medians(df, _NUM, 5, D.row_bound(spark, sf_dir)))
     filled = FS.impute(df, fill, _NUM)
-    out = FS.standardise(filled, FS.train_moments(df, _NUM, 5, fill), _NUM)
+    out = FS.standardise(filled, FS.fitted(FS.train_moments(df, _NUM, 5, fill)), _NUM)
     return FS.long_values(out, _NUM, (S.ID, "rep", "fold")).withColumn("value", r6(F.col("value")))
 
 
@@ -103,8 +109,8 @@ def scale_standardised(spark, sf_dir):
     FROM long_test JOIN st USING (rep, fold, feature)""",
 )
 def scale_range_angles(spark, sf_dir):
-    df = folded(spark, sf_dir)
-    out = FS.range_angles(df, FS.train_moments(df, _NUM, 5), _NUM)
+    df = folded_once(spark, sf_dir, _NUM)
+    out = FS.range_angles(df, FS.fitted(FS.train_moments(df, _NUM, 5)), _NUM)
     return FS.long_values(out, _NUM, (S.ID, "rep", "fold")).withColumn("value", r6(F.col("value")))
 
 

@@ -8,6 +8,7 @@ from .. import schema as S
 from ..functions.clinical import age_group_or_unknown
 from ..functions.numbers import r6, r9, shown
 from ..operators import ledger as L, metrics as M, splits as P, subgroups as G
+from ..session import stored
 from ..sources import driver_tables as D
 from .base import CLINICAL, EDGES, FOLD_META, FOLDS, METRICS, PREDICTIONS, SCORES, SUBJECTS, ctes, register, rounded, summary_sql
 
@@ -210,7 +211,7 @@ def metric_bootstrap_ci(spark, sf_dir):
 def harness_threshold_on_train(spark, sf_dir):
     from ..plans.harness import train_thresholds, with_threshold
 
-    pred = D.predictions(spark, sf_dir).where("model <> 'control_c'")
+    pred = stored(D.predictions(spark, sf_dir).where("model <> 'control_c'"), "predictions")
     t = train_thresholds(pred, 5, D.row_bound(spark, sf_dir))
     both = with_threshold(pred, t)
     c = M.confusion(both, [*L.FOLD_KEYS, "threshold"], F.col("threshold"))

@@ -12,7 +12,7 @@ from ..functions.encoding import encode, feature_names, fixed_angles
 from ..functions.numbers import r6, r9
 from ..operators import fold_stats as FS, metrics as M, selection as SEL, splits as P
 from ..plans import experiments as E, harness as H, models as MD, scoring as SC
-from ..session import new_path
+from ..session import new_path, stored
 from ..sources import clinical_csv, driver_tables as D, result_files as RF
 from .base import CLINICAL, FOLDS, SCORES, SUBJECTS, ctes, folds_sql, ledger_sql, register
 from .clinical_and_contract import REQUESTS, requests
@@ -284,8 +284,9 @@ def experiment_degradation(spark, sf_dir):
 @register("experiment_smallest_lift")
 def experiment_smallest_lift(spark, sf_dir):
     """Smallest lift detected: single-column scores with the risk signal mixed in at rising strength, five repeats as draws."""
-    df = folded(spark, sf_dir, 5).withColumn("signal", (F.col("cents") % 121).cast("double"))
-    stats = FS.train_moments(df, ["bmi", "signal"], 5)
+    signal = (F.col("cents") % 121).cast("double").alias("signal")
+    df = stored(folded(spark, sf_dir, 5).select(S.ID, "rep", "fold", "cardio", "bmi", signal), "spiked")
+    stats = FS.fitted(FS.train_moments(df, ["bmi", "signal"], 5))
     out = None
     for eps in (0.0, 0.1, 0.3):
         mixed = E.spike(df, stats, "bmi", "signal", eps).where(F.col("bmi").isNotNull())

@@ -59,8 +59,10 @@ def _range_of(cuts: Column, x: Column) -> Column:
 
 
 def _with_range(df: DataFrame, groups: list[str], order: str, cuts: DataFrame) -> DataFrame:
-    small = F.broadcast(cuts)  # one row per group above the limit, at most 4096 cuts each
-    joined = df.join(small, groups, "left") if groups else df.crossJoin(small)  # one row when ungrouped
+    if groups:
+        joined = df.join(F.broadcast(cuts), groups, "left")  # at most one cut per ROWS_PER_RANGE input rows
+    else:
+        joined = df.withColumn("_cuts", F.array(*[F.lit(float(c)) for c in cuts.first()["_cuts"]]))
     return joined.withColumn("_range", F.coalesce(_range_of(F.col("_cuts"), F.col(order)), F.lit(0))).drop("_cuts")
 
 

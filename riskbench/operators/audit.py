@@ -199,33 +199,69 @@ def _warn(code: str, value, column: str = ""):
 
 
 def audit(df: DataFrame, target: str = S.TARGET, row_bound: int | None = None) -> DataFrame:
-    """The whole report as one tidy table (section, key, level, metric, value). The table is validated first."""
+    """The whole report as one tidy table (section, key, level, metric, value). The table is validated first.
+
+    Four passes over the columns they need: one global aggregation, one over levels, one over feature tuples, one for the
+    exact medians. Each ends in a few rows; the report and its warnings are put together from those.
+    """
     from .contract import validate
 
     validate(df)
     base = df.select(*S.ALL_COLUMNS)
-    groups = feature_groups(base, target=target)
-
-    def tidy(t: DataFrame, section: str, key: str, level: str, metrics: Sequence[str]) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
-        k = F.col(key) if key in t.columns else F.lit(key)
-        lv = F.col(level) if level in t.columns else F.lit(level)
-        return t.select(F.lit(section).alias("section"), k.alias("key"), lv.alias("level"), F.inline(cells))
-
-    dups = ["exact_rows", "feature_identical_rows", "contradictory_groups", "contradictory_rows", "label_noise_ceiling"]
-    parts = [
-        tidy(class_balance(base, target), "class_balance", target, "", ["n", "positive", "negative", "prevalence", "majority_class_accuracy"]),
-        tidy(duplicate_summary(groups), "duplicates", "", "", dups),
-        tidy(missing(base), "missing", "column", "", ["missing", "missing_pct"]),
-        tidy(numeric_profile(base, row_bound=row_bound), "numeric", "column", "", ["n", "min", "p50", "max", "mean", "std"]),
-        tidy(category_counts(base), "categories", "column", "level", ["rows"]),
-        tidy(subgroup_counts(base, target), "subgroups", "key", "level", ["rows", "prevalence"]),
-        tidy(warnings(base, groups, target), "warnings", "code", "column", ["value"]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    t = F.col(target)
+    wanted = {("", "n"): F.count("*"), ("", "positive"): sum_when(t == 1), ("", "negative"): sum_when(t == 0)}
+    wanted |= {(c, "missing"): sum_when(F.col(c).isNull()) for c in S.ALL_COLUMNS}
+    for c in S.NUMERIC:
+        v = F.col(c).cast("double")
+        wanted |= {(c, "n"): F.count(v), (c, "min"): F.min(v), (c, "max"): F.max(v), (c, "mean"): F.avg(v), (c, "std"): F.stddev_samp(v)}
+    got = dict(zip(wanted, base.agg(*[w.cast("double").alias(f"v{i}") for i, w in enumerate(wanted.values())]).first()))
+    n = got[("", "n")]
+
+    def pairs(name: str, level):
+        return F.struct(F.lit(name).alias("key"), level.alias("level"))
+
+    cells = [pairs(c, F.coalesce(F.col(c).cast("string"), F.lit("missing"))) for c in S.CATEGORICAL]
+    cells.append(pairs("age_group", age_group_or_unknown(F.col("age"))))
+    levels = base.select(t.alias("_y"), F.inline(F.array(*cells))).groupBy("key", "level").agg(F.count("*").alias("rows"), F.avg("_y").alias("prevalence")).collect()
+    dup = duplicate_summary(feature_groups(base, target=target)).first()
+    medians = exact_quantiles(melt(base, S.NUMERIC), ["column"], "value", [0.5], row_bound).collect()
+    median = {r["column"]: r["q0"] for r in medians}
+
+    out: list[tuple] = []
+
+    def add(section: str, key: str, level: str, **values) -> None:
+        out.extend((section, key, level, m, None if v is None else float(v)) for m, v in values.items())
+
+    floor = max(got[("", "positive")], got[("", "negative")]) / n if n else None
+    prevalence = got[("", "positive")] / n if n else None
+    add("class_balance", target, "", n=n, positive=got[("", "positive")], negative=got[("", "negative")], prevalence=prevalence, majority_class_accuracy=floor)
+    shown = ["exact_rows", "feature_identical_rows", "contradictory_groups", "contradictory_rows", "label_noise_ceiling"]
+    add("duplicates", "", "", **{m: dup[m] for m in shown})
+    pct = {c: round(100 * got[(c, "missing")] / n, 2) if n else None for c in S.ALL_COLUMNS}
+    for c in S.ALL_COLUMNS:
+        add("missing", c, "", missing=got[(c, "missing")], missing_pct=pct[c])
+    for c in S.NUMERIC:
+        add("numeric", c, "", p50=median.get(c), **{m: got[(c, m)] for m in ("n", "min", "max", "mean", "std")})
+    for r in levels:
+        if r["key"] in S.CATEGORICAL:
+            add("categories", r["key"], r["level"], rows=r["rows"])
+        if r["key"] in S.SUBGROUP_KEYS and (r["key"], r["level"]) != ("gender", "missing"):
+            add("subgroups", r["key"], r["level"], rows=r["rows"], prevalence=r["prevalence"])
+
+    genders = [r["rows"] for r in levels if r["key"] == "gender" and r["level"] != "missing"]
+    for c, p in pct.items():
+        if p and p > 20:
+            add("warnings", "high_missing", c, value=p)
+    if dup["exact_rows"]:
+        add("warnings", "exact_duplicates", "", value=dup["exact_rows"])
+    if dup["contradictory_rows"]:
+        add("warnings", "contradictory_rows", "", value=dup["contradictory_rows"])
+        add("warnings", "label_noise_ceiling", "", value=dup["label_noise_ceiling"])
+    if genders and min(genders) / sum(genders) < 0.30:
+        add("warnings", "gender_imbalance", "gender", value=min(genders) / sum(genders))
+    if floor is not None:
+        add("warnings", "majority_floor", target, value=floor)
+    return df.sparkSession.createDataFrame(out, "section string, key string, level string, metric string, value double")
 
 
 def profile(df: DataFrame, target: str = S.TARGET) -> DataFrame:

@@ -82,6 +82,11 @@ def train_moments(df: DataFrame, features: Sequence[str], k: int, fill: DataFram
     return t.select(*KEYS, "feature", "n", "mean", F.when(sd > 0, sd).otherwise(1.0).alias("sd"), "min", "max")
 
 
+def fitted(stats: DataFrame) -> DataFrame:
+    """A fitted table as a local one: reps x folds x features rows, whatever the data. Used several times, computed once."""
+    return stats.sparkSession.createDataFrame([tuple(r) for r in stats.collect()], stats.schema)
+
+
 def wide(stats: DataFrame, features: Sequence[str], values: Sequence[str]) -> DataFrame:
     """One row per (rep, fold) with columns ``<value>__<feature>``."""
     return stats.groupBy(*KEYS).agg(

@@ -80,10 +80,19 @@ def label_information(binned: DataFrame, groups: Sequence[str]) -> DataFrame:
     return t.groupBy(*groups).agg(F.greatest(total, F.lit(0.0)).alias("mi"))
 
 
+def prepared(df: DataFrame, features: Sequence[str], target: str, k: int, row_bound: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, fill, values): the columns that selection reads, the training medians, the distinct training values.
+
+    Rows and values are written once, since several passes read a few columns each; the medians are a small local table.
+    """
+    rows = stored(df.select(ID, target, "rep", "fold", *features), "candidates")
+    fill = FS.fitted(FS.train_medians(rows, features, k, row_bound))
+    return rows, fill, stored(FS.train_values(rows, features, target, k, fill), "train-values")
+
+
 def train_information(df: DataFrame, features: Sequence[str], target: str, k: int, n_bins: int = 8, row_bound: int | None = None) -> DataFrame:
     """(rep, fold, feature, mi) on median-filled training rows of each fold."""
-    fill = FS.train_medians(df, features, k, row_bound)
-    values = FS.train_values(df, features, target, k, fill)
+    _, _, values = prepared(df, features, target, k, row_bound)
     return binned_information(values, FS.value_edges(values, n_bins, row_bound))
 
 
@@ -152,11 +161,11 @@ def train_spearman(
 
     Ranks are found per distinct value and fold, packed into one array per value, and joined to the rows once; common
     values (flags, codes, missing) are broadcast. Rows are expanded to their training folds only inside the map-side
-    aggregation of the correlations. ``fill`` and ``values`` are the training medians and values, if they are there already.
+    aggregation of the correlations. ``fill`` and ``values`` come from ``prepared``, if it has run already.
     """
     features = list(features)
-    fill = fill if fill is not None else FS.train_medians(df, features, k, row_bound)
-    values = values if values is not None else FS.train_values(df, features, target, k, fill)
+    if fill is None or values is None:
+        df, fill, values = prepared(df, features, target, k, row_bound)
     values = values.withColumn("n", F.col("n0") + F.col("n1"))
     run = O.running_sums(values, GROUP, "value", ["n"], cuts=O.fit_cuts(values, GROUP, "value", row_bound))
     centred = (F.col("cum_n") - (F.col("n") - 1) / 2.0 - (F.col("total_n") + 1) / 2.0) / F.col("total_n")
@@ -221,16 +230,10 @@ def fit_selection(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The selection, the training medians (rep, fold, feature, median), and the stored candidate columns.
 
-    The candidate columns are written once, since several passes read a few of them each; so are the distinct training
-    values. The statistics are Spark jobs over all folds together; the greedy step reads 12 relevances and 66 correlations
-    per fold.
+    The statistics are Spark jobs over all folds together; the greedy step reads 12 relevances and 66 correlations per fold.
     """
     require_columns(df, CANDIDATE_FEATURES)
-    spark = df.sparkSession
-    rows = stored(df.select(ID, target, "rep", "fold", *CANDIDATE_FEATURES), "candidates")
-    medians = FS.train_medians(rows, CANDIDATE_FEATURES, k_folds, row_bound)
-    fill = spark.createDataFrame([tuple(r) for r in medians.collect()], medians.schema)  # folds x features rows
-    values = stored(FS.train_values(rows, CANDIDATE_FEATURES, target, k_folds, fill), "train-values")
+    rows, fill, values = prepared(df, CANDIDATE_FEATURES, target, k_folds, row_bound)
     mi = binned_information(values, FS.value_edges(values, n_bins, row_bound)).collect()
     rho = train_spearman(rows, CANDIDATE_FEATURES, target, k_folds, row_bound, fill, values).collect()
     if not mi:
@@ -245,7 +248,8 @@ def fit_selection(
         for (rep, fold), (m, c) in sorted(by_fold.items())
         for i, (f, s) in enumerate(greedy(m, c, k, penalty), 1)
     ]
-    return spark.createDataFrame(out, "rep int, fold int, rank int, feature string, score double"), fill, rows
+    chosen = df.sparkSession.createDataFrame(out, "rep int, fold int, rank int, feature string, score double")
+    return chosen, fill, rows
 
 
 def support(selected: DataFrame) -> DataFrame:

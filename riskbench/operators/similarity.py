@@ -180,8 +180,9 @@ def kernel_checks(entries: DataFrame, units: DataFrame, unit: str = "unit") -> D
     diag = units.agg(F.count("*").alias("rows"), F.max(F.abs(d * d - 1)).alias("diagonal_gap"))
     lo, hi = F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")
     both = entries.groupBy(lo, hi).agg((F.max("similarity") - F.min("similarity")).alias("gap"), F.count("*").alias("n"))
-    sym = both.agg(F.sum("n").alias("entries"), F.max("gap").alias("symmetry_gap"))
-    return diag.crossJoin(F.broadcast(sym))  # one row each
+    sym = both.agg(F.sum("n").alias("entries"), F.max("gap").alias("gap"))
+    r = sym.first()  # one row
+    return diag.withColumns({"entries": F.lit(r["entries"]).cast("long"), "symmetry_gap": F.lit(r["gap"]).cast("double")})
 
 
 def pair_budget(n_train: Column, n_test: Column, seconds_per_pair: float = SECONDS_PER_PAIR) -> dict[str, Column]:

@@ -54,10 +54,8 @@ def param_table(ledger: DataFrame) -> DataFrame:
 
 def attach_floor(table: DataFrame, audit_rows: DataFrame) -> DataFrame:
     """Add the audit's majority-class accuracy to each row of the main table; NULL if the audit has none."""
-    floor = audit_rows.where("section = 'class_balance' and metric = 'majority_class_accuracy'").agg(
-        F.max("value").alias("majority_class_accuracy")
-    )
-    return table.crossJoin(F.broadcast(floor))  # a one-row aggregate
+    floor = audit_rows.where("section = 'class_balance' and metric = 'majority_class_accuracy'").agg(F.max("value")).first()[0]
+    return table.withColumn("majority_class_accuracy", F.lit(floor).cast("double"))
 
 
 def refuse_if_incomplete(table: DataFrame) -> list[str]:

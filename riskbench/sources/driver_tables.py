@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.numbers import clip
 from ..operators import ledger as L, splits as P
 from ..schema import BASE_SEED, ID
+from ..session import stored
 
 MODELS = ["control_c", "logreg", "mlp"]
 
@@ -118,7 +119,7 @@ def ledger(spark: SparkSession, sf_dir: str, k: int = 5, repeats: int = 5) -> Da
     p_col = functools.reduce(
         lambda acc, kv: acc.when(F.col("model") == kv[0], kv[1]), params.items(), F.when(F.lit(False), 0)
     )
-    return L.fold_ledger(
+    rows = L.fold_ledger(
         pred,
         n_train=lambda rows: F.lit(n) - rows,
         n_params=p_col,
@@ -126,3 +127,4 @@ def ledger(spark: SparkSession, sf_dir: str, k: int = 5, repeats: int = 5) -> Da
         config={"folds": k, "repeats": repeats, "source": "orders", "feature_set": "compact", "seed": BASE_SEED},
         row_bound=n,
     )
+    return stored(rows, "ledger-rows")  # one row per model, repeat and fold; reports read it as a file, several times
