@@ -14,6 +14,7 @@ from .. import schema as S
 from ..functions import ordering as O
 from ..functions.joins import join_hot_apart
 from ..functions.numbers import sum_when
+from ..session import stored
 
 
 class SplitError(ValueError):
@@ -190,7 +191,7 @@ def repeated_group_folds(
     if df.where(F.col(group).isNull()).limit(1).count():
         raise SplitError("every row needs a group")
     groups = df.groupBy(F.col(group).alias("group_id")).agg(F.count("*").alias("n"), F.sum(target).alias("pos"))
-    strata_of = _strata(groups, total, k)
+    strata_of = stored(_strata(groups, total, k), "groups")
     strata = strata_of.groupBy("stratum").agg(
         F.count("*").alias("m"), F.sum("n").alias("rows"), F.sum("pos").alias("positives")
     ).collect()  # at most a few ten thousand rows by construction

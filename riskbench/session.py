@@ -46,10 +46,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a table that several jobs read, and read it back: short lineage, safe against lost executors."""
+    """Write a table that several jobs read, and read it back: short lineage, safe against lost executors.
+
+    With ``partition_by`` the rows are rebalanced first, so that each folder gets files of the advisory size and a large
+    folder is written by many tasks.
+    """
     path = new_path(df.sparkSession, name)
     w = df.write.mode("overwrite")
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
     w.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
