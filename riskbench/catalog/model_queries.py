@@ -27,7 +27,7 @@ def rows(spark, sf_dir):
 
 def _evaluate(spark, sf_dir, models: dict, folds: int = 2, threshold="train"):
     f = D.folds(spark, sf_dir, folds, 1)
-    led = H.evaluate(models, rows(spark, sf_dir), "cardio", f, threshold, {"folds": folds, "repeats": 1, "source": "orders", "seed": S.BASE_SEED})
+    led = H.evaluate(models, rows(spark, sf_dir), "cardio", f, threshold, {"folds": folds, "repeats": 1, "source": "orders", "seed": S.BASE_SEED}, shared_k=8)
     return led
 
 
@@ -36,7 +36,7 @@ def model_logreg(spark, sf_dir):
     """Group-safe folds: copies of a feature tuple never lie on both sides."""
     df = rows(spark, sf_dir)
     f = P.repeated_group_folds(df.withColumn("group_id", P.feature_group()), "cardio", "group_id", 3, 1)
-    return H.evaluate({"logreg": MD.build("logreg")}, df, "cardio", f, "train", {"folds": 3, "repeats": 1})
+    return H.evaluate({"logreg": MD.build("logreg")}, df, "cardio", f, "train", {"folds": 3, "repeats": 1}, shared_k=8)
 
 
 @register("model_trees")

@@ -99,10 +99,11 @@ def similarity_kernel_checks(spark, sf_dir):
 )
 def similarity_feature_map(spark, sf_dir):
     """Inner products of the explicit map of each vector and the next one."""
-    phi = N.pair_features(embeddings(spark, sf_dir), "embedding", ["vec_id"])
-    nxt = phi.select((F.col("vec_id") - 1).alias("vec_id"), F.col("features").alias("other"))
-    j = phi.join(nxt, "vec_id")
-    return j.select("vec_id", r6(N.dot(F.col("features"), F.col("other"))).alias("similarity_to_next"))
+    e = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
+    mine = N.pair_features(both, "embedding", ["vec_id", "next"], "mine")  # mapped after the join: only vectors are moved
+    other = N.pair_features(mine, "next", ["vec_id", "mine"], "other")
+    return other.select("vec_id", r6(N.dot(F.col("mine"), F.col("other"))).alias("similarity_to_next"))
 
 
 @register(

@@ -6,6 +6,7 @@ table (record_id, rep, fold); the training rows of a fold are the rows of the sa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -320,10 +321,21 @@ TOP_ROWS = 100_000  # up to here a top-n heap per task is best; larger samples a
 
 
 def _first_by_draw(keyed: DataFrame, n: int) -> DataFrame:
-    if n <= TOP_ROWS:
-        return keyed.orderBy("_draw", S.ID).limit(n).drop("_draw")
-    ranked = O.rank_by_draw(keyed, [], "_draw", S.ID, keyed.count(), out="_position")
-    return ranked.where(F.col("_position") <= n).drop("_draw", "_position")
+    """The first n rows in hash order.
+
+    For a top-n heap, rows far behind the n-th are filtered out first by the leading bits of the hash, so that it sees about
+    n rows and not n per task; should too few rows pass, all are used. Larger samples are ranked in ranges.
+    """
+    total = keyed.count()
+    if n > TOP_ROWS:
+        ranked = O.rank_by_draw(keyed, [], "_draw", S.ID, total, out="_position")
+        return ranked.where(F.col("_position") <= n).drop("_draw", "_position")
+    near = n + 10 * math.sqrt(n) + 100
+    if near < total:
+        lead = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long")
+        some = keyed.where(lead < F.lit(math.ceil(near / total * 2**32)))
+        keyed = some if some.count() >= n else keyed
+    return keyed.orderBy("_draw", S.ID).limit(n).drop("_draw")
 
 
 def balanced_sample(df: DataFrame, target: str, n: int, seed: int = S.BASE_SEED) -> DataFrame:

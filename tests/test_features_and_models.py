@@ -116,6 +116,18 @@ def test_harness_and_bundle(spark, rows, tmp_path):
         MD.build("nothing")
 
 
+def test_shared_representations_equal_fits_per_fold(spark, rows):
+    f = D.folds(spark, SF, 3, 1)
+    shared = ST.fit_representations(rows, "cardio", f, 3, 5)
+    train = rows.join(f.where("fold <> 1").select(S.ID), S.ID)
+    one = ST.ClinicalRepresentation(k=5).fit(train)
+    for name in ("features", "medians", "means", "sds"):
+        a, b = one.getOrDefault(name), shared[(0, 1)].getOrDefault(name)
+        assert a == b if name == "features" else np.allclose(a, b)
+    with pytest.raises(ValueError):
+        MD.logreg(k=4, representation=shared[(0, 1)])
+
+
 def test_spike_identity_and_degradation(spark, rows):
     assert E.spike(rows, None, "height", "age", 0.0) is rows
     from riskbench.operators import metrics as M
