@@ -238,7 +238,7 @@ def split_group_folds(spark, sf_dir):
 
 @register(
     "split_group_isolation",
-    SUB + f"""SELECT CAST(r AS INTEGER) AS rep, (SELECT COUNT(*) FROM (SELECT DISTINCT {FEATURE_LIST} FROM subjects)) AS groups, 0 AS split_groups
+    SUB + f"""SELECT CAST(r AS INTEGER) AS rep, (SELECT COUNT(*) FROM (SELECT DISTINCT {FEATURE_LIST} FROM subjects)) AS groups, 0::BIGINT AS split_groups
               FROM range(5) t(r)""",
 )
 def split_group_isolation(spark, sf_dir):
@@ -247,7 +247,7 @@ def split_group_isolation(spark, sf_dir):
 
 @register(
     "split_group_coverage",
-    SUB + "SELECT CAST(r AS INTEGER) AS rep, (SELECT COUNT(*) FROM subjects) AS records, 1 AS min_times, 1 AS max_times FROM range(5) t(r)",
+    SUB + "SELECT CAST(r AS INTEGER) AS rep, (SELECT COUNT(*) FROM subjects) AS records, 1::BIGINT AS min_times, 1::BIGINT AS max_times FROM range(5) t(r)",
 )
 def split_group_coverage(spark, sf_dir):
     return P.coverage(group_folds(spark, sf_dir))

@@ -151,7 +151,7 @@ def ledger_sql(k: int = 5, r: int = 5) -> str:
         FOLD_META + "," + PREDICTIONS + "," + summary_sql("predictions", "model, rep, fold") + f""",
 ledger AS (
   SELECT s.*, 0.5::DOUBLE AS threshold, (SELECT COUNT(*) FROM orders) - CAST(n AS BIGINT) AS n_train,
-         {PARAMS_SQL} AS n_trainable_params, '{CONFIG_JSON.format(k=k, r=r)}' AS config_json,
+         CAST({PARAMS_SQL} AS BIGINT) AS n_trainable_params, '{CONFIG_JSON.format(k=k, r=r)}' AS config_json,
          round(((SELECT COUNT(*) FROM orders) - n)/100000.0::DOUBLE + rep*0.01::DOUBLE + fold*0.001::DOUBLE, 6) AS fit_seconds
   FROM summary s)"""
     )

@@ -9,7 +9,7 @@ from ..functions import clinical as C, encoding as E
 from ..functions.numbers import r6
 from ..operators import contract as V
 from ..sources import clinical_csv, driver_tables as D
-from .base import CLINICAL, EDGES, SUBJECTS, ctes, register
+from .base import CLINICAL, SUBJECTS, ctes, register
 
 SUB = ctes(SUBJECTS)
 CLIN = ctes(SUBJECTS, CLINICAL)

@@ -175,7 +175,7 @@ def _screened(spark, sf_dir):
 
 @register(
     "select_screening",
-    ctes(*BASE, _long("long_train", "train", KEEP, FEATURES), SCREEN) + "SELECT rep, fold, feature, round(auc, 6) AS auc, round(strength, 6) AS strength, rk AS rank FROM top WHERE rk <= 8",
+    ctes(*BASE, _long("long_train", "train", KEEP, FEATURES), SCREEN) + "SELECT rep, fold, feature, round(auc, 6) AS auc, round(strength, 6) AS strength, CAST(rk AS INTEGER) AS rank FROM top WHERE rk <= 8",
 )
 def select_screening(spark, sf_dir):
     t = SEL.top_per_fold(_screened(spark, sf_dir), "strength", 8)
@@ -235,7 +235,7 @@ def attributions(spark, sf_dir):
 
 @register(
     "attribution_top_features",
-    ATTR_SQL + """SELECT feature, round(importance, 6) AS importance, ROW_NUMBER() OVER (ORDER BY importance DESC, feature) AS rank
+    ATTR_SQL + """SELECT feature, round(importance, 6) AS importance, CAST(ROW_NUMBER() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank
                   FROM (SELECT feature, AVG(ABS(value)) AS importance FROM attributions GROUP BY feature) QUALIFY rank <= 5""",
 )
 def attribution_top_features(spark, sf_dir):
@@ -244,7 +244,7 @@ def attribution_top_features(spark, sf_dir):
 
 @register(
     "attribution_leakage_proxies",
-    ATTR_SQL + """SELECT feature, rank FROM (SELECT feature, ROW_NUMBER() OVER (ORDER BY AVG(ABS(value)) DESC, feature) AS rank FROM attributions GROUP BY feature)
+    ATTR_SQL + """SELECT feature, rank FROM (SELECT feature, CAST(ROW_NUMBER() OVER (ORDER BY AVG(ABS(value)) DESC, feature) AS INTEGER) AS rank FROM attributions GROUP BY feature)
                   WHERE rank <= 5 AND feature IN ('height__missing', 'weight__missing', 'ap_lo')""",
 )
 def attribution_leakage_proxies(spark, sf_dir):
@@ -257,8 +257,8 @@ def attribution_leakage_proxies(spark, sf_dir):
     ctes(SUBJECTS, CLINICAL, _long("v", "clinical", "record_id, cardio", _NUM)) + """
     , m AS (SELECT feature, AVG(value) FILTER (cardio = 1) - AVG(value) FILTER (cardio = 0) AS value FROM v GROUP BY feature)
     , t AS (SELECT feature, value, CASE WHEN value > 0 THEN 'raises' WHEN value < 0 THEN 'lowers' ELSE 'neutral' END AS direction FROM m)
-    SELECT feature, round(value, 6) AS value, direction, ROW_NUMBER() OVER (PARTITION BY direction ORDER BY ABS(t.value) DESC, feature) AS position,
-           ROW_NUMBER() OVER (ORDER BY ABS(t.value) DESC, feature) AS by_size FROM t""",
+    SELECT feature, round(value, 6) AS value, direction, CAST(ROW_NUMBER() OVER (PARTITION BY direction ORDER BY ABS(t.value) DESC, feature) AS INTEGER) AS position,
+           CAST(ROW_NUMBER() OVER (ORDER BY ABS(t.value) DESC, feature) AS INTEGER) AS by_size FROM t""",
 )
 def attribution_signed_order(spark, sf_dir):
     long = FS.long_values(C.add_clinical(D.subjects(spark, sf_dir)), _NUM, (S.ID, "cardio"))
@@ -274,7 +274,7 @@ _X = ["age_years", "ap_hi", "ap_lo", "bmi", "pulse_pressure", "cholesterol", "gl
 BINNED = ctes(SUBJECTS, CLINICAL, """
 edges AS (SELECT """ + ", ".join(f"list_sort(list_distinct(quantile_cont({c}::DOUBLE, [0.25, 0.5, 0.75]))) AS e_{c}" for c in _X) + " FROM clinical)",
     "\nbinned AS (SELECT record_id, " + ", ".join(
-        f"CASE WHEN {c} IS NULL THEN len(e_{c}) ELSE len(list_filter(e_{c}, lambda e: e <= {c})) END AS {c}" for c in _X
+        f"CAST(CASE WHEN {c} IS NULL THEN len(e_{c}) ELSE len(list_filter(e_{c}, lambda e: e <= {c})) END AS INTEGER) AS {c}" for c in _X
     ) + " FROM clinical CROSS JOIN edges)")
 MI_SQL = BINNED + _long(", lb", "binned", "record_id", _X).replace("\n,", ",") + """
     , o(feature, pos) AS (VALUES """ + ", ".join(f"('{f}', {i})" for i, f in enumerate(_X)) + """)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.clinical import age_group_or_unknown
 from ..functions.numbers import r6, r9, shown
-from ..operators import ledger as L, metrics as M, splits as P, subgroups as G
+from ..operators import ledger as L, metrics as M, subgroups as G
 from ..session import stored
 from ..sources import driver_tables as D
 from .base import CLINICAL, EDGES, FOLD_META, FOLDS, METRICS, PREDICTIONS, SCORES, SUBJECTS, ctes, register, rounded, summary_sql

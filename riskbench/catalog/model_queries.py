@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
@@ -100,6 +99,16 @@ def model_importance_top(spark, sf_dir):
     return SEL.top_features(t, 16)
 
 
+@register("encode_compact_representation")
+def encode_compact_representation(spark, sf_dir):
+    """Eight columns per record, learned on the training side of a holdout and applied to all rows."""
+    from ..plans.stages import ClinicalRepresentation
+
+    df = P.holdout(rows(spark, sf_dir), "cardio")
+    fitted = ClinicalRepresentation(k=8).fit(df.where(~F.col("is_test")).drop("is_test"))
+    return fitted.transform(df).select(S.ID, "is_test", *fitted.output_columns())
+
+
 @register(
     "score_batch_labels",
     ctes(SUBJECTS, SCORES) + """

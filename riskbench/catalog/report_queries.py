@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.numbers import r6, r9, shown
-from ..operators import audit as A, comparisons as T, ledger as L, metrics as M
+from ..operators import audit as A, comparisons as T, ledger as L
 from ..plans import model_catalog as MC, report as R
 from ..session import new_path
 from ..sources import driver_tables as D, ledger_files as LF, result_files as RF

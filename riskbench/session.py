@@ -24,6 +24,9 @@ def build_session(app: str = "riskbench", master: str | None = None, shuffle_par
     return b.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}  # local-mode folder per application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
@@ -35,9 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="riskbench-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="riskbench-")
+    return _LOCAL[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

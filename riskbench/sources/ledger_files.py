@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 TEXT = ["model", "config_json"]
-WHOLE = ["n", "n_pos", "tn", "fp", "fn", "tp", "rep", "fold", "n_train", "n_trainable_params"]
+WHOLE = {c: "bigint" for c in ("n", "n_pos", "tn", "fp", "fn", "tp", "n_train", "n_trainable_params")} | {"rep": "int", "fold": "int"}
 
 
 def append(ledger: DataFrame, path: str) -> None:
@@ -34,6 +34,6 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         .schema(schema).csv(path)
     )
     number = {
-        c: F.expr(f"try_cast(trim(`{c}`) as {'bigint' if c in WHOLE else 'double'})") for c in schema.names if c not in TEXT
+        c: F.expr(f"try_cast(trim(`{c}`) as {WHOLE.get(c, 'double')})") for c in schema.names if c not in TEXT
     }
     return raw.withColumns(number).where(F.col("model").isNotNull() & (F.trim("model") != ""))

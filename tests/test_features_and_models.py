@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from riskbench import schema as S
 from riskbench.functions import clinical as C
-from riskbench.operators import crosses as X, selection as SEL, similarity as N, splits as P
+from riskbench.operators import crosses as X, selection as SEL, similarity as N
 from riskbench.plans import experiments as E, harness as H, models as MD, scoring as SC, stages as ST
 from riskbench.sources import driver_tables as D
 
