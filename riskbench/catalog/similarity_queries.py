@@ -119,7 +119,7 @@ def similarity_pair_budget(spark, sf_dir):
     return b.withColumn("est_seconds", r6(F.col("est_seconds")))
 
 
-@register("similarity_cached")
+@register("similarity_cached", UNITS + RING + "SELECT i, j, round(k, 6) AS similarity FROM ring")
 def similarity_cached(spark, sf_dir):
     """Requested pairs kept under a key of the data; the second write is skipped."""
     from ..session import new_path
@@ -128,4 +128,4 @@ def similarity_cached(spark, sf_dir):
     folder, name = new_path(spark, "similarity"), N.content_key(e, "vec_id", "embedding", "squared-cosine")
     for _ in range(2):
         out = N.cached(N.pair_similarity(e, _ring(spark, sf_dir), "vec_id", "embedding"), name, folder)
-    return out
+    return out.select("i", "j", r6(F.col("similarity")).alias("similarity"))
