@@ -4,10 +4,11 @@ All shingles have one global order: those of few documents first, by hash, then
 is cut into fragments, and everything that meets across documents does so inside a fragment:
 
 1. ``frequent``: documents per shingle, counted fragment by fragment over all documents.
-2. ``prefixes``: a linked pair shares a shingle among the first ``n - ceil(0.75 n) + 1`` of each side, so only these are sent.
-   Copies share a set and count as one from here on.
-3. ``candidates``: inside a fragment, shingles of few documents give all their pairs of fitting size; those of many give a star
-   per size band around one of them.
+2. ``prefixes``: a linked pair shares ``k`` shingles among the first ``n - ceil(0.75 n) + k`` of each side, so only these are
+   sent. Copies share a set and count as one from here on.
+3. ``candidates``: inside a fragment, shingles of few documents give all their pairs of fitting size with the overlap counted
+   there; overlaps are summed per pair, and pairs that cannot reach ``k`` go. Shingles of many documents give a star per size
+   band around one of them, from the prefixes with ``k = 1``.
 4. ``verify``: sets of candidates are cut at the fragments of the order, overlaps are counted per fragment and summed per pair.
 5. Stars first, then whatever candidate pairs still lie in different components. Pairs inside a component are not compared, so
    a group of near copies costs about one comparison a document.
@@ -20,7 +21,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import stored
 from .common import U64, WordHashes, shared, shingles, texts
@@ -30,7 +31,8 @@ WIDTH, SHARE = 5, 75  # words of a shingle; percent of the union that must be sh
 MANY = 8  # documents from which a shingle is frequent
 MOST_FREQUENT = 1 << 20  # frequent shingles that are told apart by number; the rest stay in hash order, with the same result
 FLUSH = 1_500_000  # shingles that a task packs at a time
-PER_FRAGMENT = 1_000_000
+PER_FRAGMENT = 3_000_000
+SMALL = 100_000  # documents to verify up to which their ids are broadcast and the texts stay where they are
 CUTS = 4  # fragments of the order in which overlaps are counted
 
 
@@ -106,6 +108,11 @@ def frequent(docs: DataFrame) -> DataFrame:
     return _scan(docs, pack_docs, "fragment int, blob binary").groupBy("fragment").applyInPandas(count, "mark long, n long")
 
 
+def wanted(n):
+    """The k of a set of n shingles."""
+    return 1 + n // 20
+
+
 class Order:
     """Frequent shingles as arrays: the marks in order, and the place of each among the frequent ones."""
 
@@ -117,20 +124,23 @@ class Order:
         place[np.lexsort((marks, n))] = np.arange(len(marks))
         self.marks, self.place = marks[by_mark], place[by_mark]
 
-    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the prefix that few documents hold; those that many hold; places of the latter in the order of this set."""
+    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Of the prefix for ``wanted``: the hashes that few documents hold, and how many of many it has. Of the prefix for
+        k = 1: the hashes that many hold, and their places in the order of this set."""
         n = len(s)
-        length = n - (SHARE * n + 99) // 100 + 1 if n else 0
-        if not len(self.marks):
-            return s[:length], s[:0], np.zeros(0, np.int64)
-        marks = s >> U64(32)
-        at = np.minimum(np.searchsorted(self.marks, marks), len(self.marks) - 1)
-        many = self.marks[at] == marks
-        few = s[~many]
-        left = max(0, length - len(few))
-        hot = s[many]
-        hot = hot[np.lexsort((hot, self.place[at[many]]))][:left]
-        return few[:length], hot, len(few) + np.arange(len(hot))
+        first = n - (SHARE * n + 99) // 100
+        length = first + wanted(n)
+        many = np.zeros(n, bool)
+        if len(self.marks):
+            marks = s >> U64(32)
+            at = np.minimum(np.searchsorted(self.marks, marks), len(self.marks) - 1)
+            many = self.marks[at] == marks
+        few, hot = s[~many], s[many]
+        if len(hot):
+            hot = hot[np.lexsort((hot, self.place[at[many]]))]
+        n_hot = min(len(hot), max(0, length - len(few)))
+        hot = hot[: max(0, first + 1 - len(few))]
+        return few[:length], hot, len(few) + np.arange(len(hot)), n_hot
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -138,9 +148,9 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, order) -> DataFrame:
-    """Rows of three kinds: documents (doc_id, set_key, code, n); packed prefixes of few (fragment, blob); entries of
+    """Rows of three kinds: documents (doc_id, set_key, code, n, and how many shingles of many the prefix has, as ``place``); packed prefixes of few (fragment, blob); entries of
     frequent shingles (shingle, code, n, place). ``code`` is the first half of the digest of the set."""
-    bits = int(np.log2(_fragments(docs, 0.25)))
+    bits = int(np.log2(_fragments(docs, 0.3)))
 
     def pack_docs(ids, sets):
         found = order.value
@@ -148,16 +158,18 @@ def prefixes(docs: DataFrame, order) -> DataFrame:
         codes = np.array([int.from_bytes(k[:8], "little") if k else 0 for k in keys], np.uint64)
         sizes = np.array([len(s) for s in sets], np.int64)
         code = _signed(codes).tolist()
-        rows = [("document", i, k, c, n, None, None, None, None) for i, k, c, n in zip(ids, keys, code, sizes.tolist())]
-        few, owners, seen = [], [], set()
+        few, owners, seen, rows, counts = [], [], {}, [], []
         for d, s in enumerate(sets):
-            if not len(s) or keys[d] in seen:
-                continue  # copies within what a task packs are one set
-            seen.add(keys[d])
-            cold, hot, places = found.prefix(s)
+            if not len(s) or keys[d] in seen:  # copies within what a task packs are one set
+                counts.append(seen.get(keys[d], 0))
+                continue
+            cold, hot, places, n_hot = found.prefix(s)
+            seen[keys[d]] = n_hot
+            counts.append(n_hot)
             few.append(cold)
             owners.append(np.full(len(cold), d))
             rows += [("frequent", None, None, code[d], int(sizes[d]), None, None, h, p) for h, p in zip(_signed(hot).tolist(), places.tolist())]
+        rows += [("document", i, k, c, n, None, None, None, h) for i, k, c, n, h in zip(ids, keys, code, sizes.tolist(), counts)]
         if few:
             few, owners = np.concatenate(few) >> U64(24), np.concatenate(owners)
             by = np.argsort(few, kind="stable")
@@ -191,7 +203,7 @@ def band(n):
 
 
 def pairs_of_few(pdf):
-    """Pairs of sets that share a shingle of this fragment; ``star`` for pairs with the first set of a shingle and band.
+    """Pairs of sets that share shingles of this fragment and how many; ``star`` for pairs with the first set of a shingle and band.
 
     Sets under shingles that turn out to be of more than 64 sets come back as entries of frequent shingles instead.
     """
@@ -221,28 +233,39 @@ def pairs_of_few(pdf):
         a, b = a[fit], b[fit]
         star = begins_band[a] & ((bands[a] == bands[b]) | begins_band[b])
         out.append(pd.DataFrame({"a": _signed(np.minimum(code[a], code[b])), "b": _signed(np.maximum(code[a], code[b])), "star": star}))
-    pairs = pd.concat(out).groupby(["a", "b"], as_index=False, sort=False)["star"].max() if out else pd.DataFrame({"a": [], "b": [], "star": []})
-    pairs = pairs.astype({"a": "int64", "b": "int64", "star": bool}).assign(shingle=None, code=None, n=None)
+    pairs = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "star": []})
+    pairs = pairs.groupby(["a", "b"], sort=False)["star"].agg(star="max", shared="size").reset_index()
+    pairs = pairs.astype({"a": "int64", "b": "int64", "star": bool, "shared": "int64"}).assign(shingle=None, code=None, n=None)
     fragment = int(pdf["fragment"].iloc[0])
-    spill = pd.DataFrame({"a": None, "b": None, "star": None, "shingle": _signed((U64(fragment) << U64(40)) + rest[large]), "code": _signed(code[large].copy()), "n": n[large]})
+    spill = pd.DataFrame({"a": None, "b": None, "star": None, "shared": None, "shingle": _signed((U64(fragment) << U64(40)) + rest[large]), "code": _signed(code[large].copy()), "n": n[large]})
     return pd.concat([pairs, spill]) if len(spill) else pairs
 
 
 def candidates(sent: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, star) by code from shingles of few, with the stars of frequent ones; and the entries of frequent shingles."""
+    """Pairs (a, b, star) by code from shingles of few that share enough, with the stars of frequent ones; and the entries of
+    frequent shingles."""
     few = sent.where("kind = 'few'").select("fragment", "blob").groupBy("fragment")
-    few = stored(few.applyInPandas(pairs_of_few, "a long, b long, star boolean, shingle long, code long, n long"), "ngram-pairs")
+    few = stored(few.applyInPandas(pairs_of_few, "a long, b long, star boolean, shared long, shingle long, code long, n long"), "ngram-pairs")
     entries = sent.where("kind = 'frequent'").select("shingle", "code", "n", F.col("place").cast("long").alias("place"))
     late = few.where("shingle is not null").select("shingle", "code", "n", F.lit(0).cast("long").alias("place"))
-    entries = entries.unionByName(late).distinct()
+    # Shingles that no pair has counted: those of many in the prefix, and those found to be of many on the way.
+    spared = sent.where("kind = 'document' and n > 0").groupBy("code").agg(F.max("place").alias("spared"), F.max("n").alias("n"))
+    extra = late.groupBy("code").agg(F.count("*").alias("extra"))
+    spared = spared.join(extra, "code", "left").select("code", "n", (F.col("spared") + F.coalesce("extra", F.lit(0))).alias("spared"))
+    of = lambda c: spared.select(F.col("code").alias(c), F.col("n").alias(f"n_{c}"), F.col("spared").alias(f"s_{c}"))
+    summed = few.where("a is not null").groupBy("a", "b").agg(F.max("star").alias("star"), F.sum("shared").alias("shared"))
+    k = F.least(*[1 + F.floor(F.col(f"n_{c}") / 20) for c in "ab"])
+    # One less than k: two shingles of a set may have met in one bucket.
+    enough = F.col("shared") + F.least("s_a", "s_b") >= k - 1
+    summed = summed.join(of("a"), "a").join(of("b"), "b").where(enough).select("a", "b", "star")
+    entries = stored(entries.unionByName(late).distinct(), "ngram-entries")
     banded = entries.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / SHARE)) + 1e-9))
     hubs = banded.groupBy("shingle", "band").agg(F.min(F.struct("code", "n")).alias("hub"))
     to_hub = banded.join(hubs, ["shingle", "band"]).select(F.col("hub.code").alias("x"), F.col("code").alias("y"))
     above = hubs.select("shingle", (F.col("band") + 1).alias("band"), F.col("hub").alias("under"))
     across = hubs.join(above, ["shingle", "band"]).where(fitting("hub.n", "under.n")).select(F.col("under.code").alias("x"), F.col("hub.code").alias("y"))
     stars = to_hub.unionByName(across).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(True).alias("star"))
-    pairs = few.where("a is not null").select("a", "b", "star").unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
-    return pairs, entries
+    return summed.unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star")), entries
 
 
 def fitting(x: str, y: str):
@@ -255,12 +278,15 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     A document is read for all its pairs at once: its set is cut into ``CUTS`` ranges of the order and goes to the first of
     each pair; overlaps are counted range by range and summed.
     """
-    hubs = pairs.select(F.col("a").alias("rep"), F.col("a").alias("to"), F.lit(True).alias("is_hub")).distinct()
-    want = pairs.select(F.col("b").alias("rep"), F.col("a").alias("to"), F.lit(False).alias("is_hub")).unionByName(hubs)
-    want = want.groupBy("rep").agg(F.collect_list(F.struct("to", "is_hub")).alias("to"))
-    want = want.join(classes.select("rep", "set_key"), "rep")
-    read = docs.join(want, docs["doc_id"] == want["rep"]).select("text", "rep", "set_key", "to")
-    struct = T.StructType.fromDDL("hub long, cut int, rep long, is_hub boolean, n long, hashes array<long>")
+    # The first of many pairs gets several places, each for some of its partners.
+    places = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).cast("int").alias("places"))
+    members = pairs.join(places, "a").select(F.col("b").alias("rep"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "places").cast("int").alias("place"), F.lit(False).alias("is_hub"))
+    hubs = places.select(F.col("a").alias("rep"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(True).alias("is_hub"))
+    want = members.unionByName(hubs).groupBy("rep").agg(F.collect_list(F.struct("hub", "place", "is_hub")).alias("to"))
+    want = stored(want.join(classes.select("rep", "set_key"), "rep"), "ngram-wanted")
+    side = F.broadcast(want) if want.count() <= SMALL else want
+    read = docs.join(side, docs["doc_id"] == side["rep"]).select("text", "rep", "set_key", "to")
+    struct = T.StructType.fromDDL("hub long, place int, cut int, rep long, is_hub boolean, n long, hashes array<long>")
 
     def cut(batches):
         import pyarrow as pa
@@ -268,28 +294,30 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
         kinds, hashes = to_arrow_schema(struct), WordHashes()
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for k in range(batch.num_rows):
                 text, rep, key, to = (batch.column(i)[k].as_py() for i in range(4))
                 s = set_of(text, hashes)
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() != key:
                     continue  # another text under the same id
+                held += len(s) * len(to)
                 edges = np.searchsorted(s, np.arange(1, CUTS, dtype=np.uint64) << U64(62))
                 for c, part in enumerate(np.split(_signed(s), edges)):
-                    rows += [(t["to"], c, rep, t["is_hub"], len(s), part) for t in to]
-                if sum(len(r[5]) for r in rows) > FLUSH:
+                    rows += [(t["hub"], t["place"], c, rep, t["is_hub"], len(s), part) for t in to]
+                if held > FLUSH:
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
 
-    parts = stored(read.mapInArrow(cut, struct), "ngram-sets")
-    hub = parts.where("is_hub").dropDuplicates(["hub", "cut"]).select("hub", "cut", F.col("n").alias("n_hub"), F.col("hashes").alias("hub_hashes"))
+    # The hub's set stands first in its place and range, and meets each of the bounded number of others there.
+    w = Window.partitionBy("hub", "place", "cut").orderBy(F.desc("is_hub"))
+    met = read.mapInArrow(cut, struct).withColumn("hub_n", F.first("n").over(w)).withColumn("hub_hashes", F.first("hashes").over(w)).where("not is_hub")
     overlap = F.size(F.array_intersect("hashes", "hub_hashes")).cast("long")
-    counted = parts.where("not is_hub").join(hub, ["hub", "cut"]).select("hub", "rep", "cut", "n", "n_hub", overlap.alias("overlap"))
+    counted = met.select("hub", "rep", "cut", "n", "hub_n", overlap.alias("overlap"))
     # A row that stands twice in the table counts once.
-    counted = counted.groupBy("hub", "rep", "cut").agg(F.max("n").alias("n"), F.max("n_hub").alias("n_hub"), F.max("overlap").alias("overlap"))
-    summed = counted.groupBy("hub", "rep").agg(F.sum("overlap").alias("o"), F.max("n").alias("n"), F.max("n_hub").alias("m"))
+    counted = counted.groupBy("hub", "rep", "cut").agg(F.max("n").alias("n"), F.max("hub_n").alias("hub_n"), F.max("overlap").alias("overlap"))
+    summed = counted.groupBy("hub", "rep").agg(F.sum("overlap").alias("o"), F.max("n").alias("n"), F.max("hub_n").alias("m"))
     return summed.where(100 * F.col("o") >= SHARE * (F.col("n") + F.col("m") - F.col("o"))).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
 
 
@@ -305,7 +333,7 @@ def components(docs: DataFrame) -> DataFrame:
     docs = texts(docs)
     top = frequent(docs).orderBy(F.desc("n"), "mark").limit(MOST_FREQUENT).collect()
     sent = stored(prefixes(docs, shared(spark, Order(top))), "ngram-prefixes")
-    rows = sent.where("kind = 'document'").select("doc_id", "set_key", "code", "n")
+    rows = stored(sent.where("kind = 'document'").select("doc_id", "set_key", "code", "n"), "ngram-documents")
     named = rows.where("doc_id is not null and n > 0")
     classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("code").alias("code"), F.first("n").alias("n")), "ngram-classes")
     pairs, entries = candidates(sent)
