@@ -31,7 +31,7 @@ WIDTH, SHARE = 5, 75  # words of a shingle; percent of the union that must be sh
 MANY = 8  # documents from which a shingle is frequent
 MOST_FREQUENT = 1 << 20  # frequent shingles that are told apart by number; the rest stay in hash order, with the same result
 FLUSH = 1_500_000  # shingles that a task packs at a time
-PER_FRAGMENT = 3_000_000
+PER_FRAGMENT = 1_500_000
 SMALL = 100_000  # documents to verify up to which their ids are broadcast and the texts stay where they are
 CUTS = 4  # fragments of the order in which overlaps are counted
 
@@ -209,33 +209,42 @@ def pairs_of_few(pdf):
     """
     import pandas as pd
 
-    rest, code, n, first = [], [], [], 0
+    rest, ref, code, n, first = [], [], [], [], 0
     for blob in pdf["blob"]:
         r, index, codes, sizes = _open(blob)
-        rest.append(r), code.append(codes[index]), n.append(sizes[index])
-    rest, code, n = map(np.concatenate, (rest, code, n))
+        rest.append(r), ref.append((index + first).astype(np.int32)), code.append(codes), n.append(sizes)
+        first += len(codes)
+    rest, ref, code, n = map(np.concatenate, (rest, ref, code, n))
+    by = np.argsort(rest, kind="stable")
+    rest, ref = rest[by], ref[by]
+    same = rest[1:] == rest[:-1]
+    shared_by_some = np.append(False, same) | np.append(same, False)
+    rest, code, n = rest[shared_by_some], code[ref[shared_by_some]], n[ref[shared_by_some]]
     by = np.lexsort((code, band(n), rest))
     rest, code, n = rest[by], code[by], n[by]
-    new = np.append(True, (rest[1:] != rest[:-1]) | (code[1:] != code[:-1]))
+    new = np.append(True, (rest[1:] != rest[:-1]) | (code[1:] != code[:-1]))[: len(rest)]
     rest, code, n = rest[new], code[new], n[new]
-    starts = np.flatnonzero(np.append(True, rest[1:] != rest[:-1]))
+    starts = np.flatnonzero(np.append(True, rest[1:] != rest[:-1])[: len(rest)])
     sizes = np.diff(np.append(starts, len(rest)))
-    out = []
     large = np.repeat(sizes > 64, sizes)
     left = np.repeat(sizes, sizes) - (np.arange(len(rest)) - np.repeat(starts, sizes)) - 1  # entries behind this one
     left[large] = 0
     bands = band(n)
-    begins_band = np.append(True, (rest[1:] != rest[:-1]) | (bands[1:] != bands[:-1]))
+    begins_band = np.append(True, (rest[1:] != rest[:-1]) | (bands[1:] != bands[:-1]))[: len(rest)]
+    found = []
     for step in range(1, int(left.max(initial=0)) + 1):
         a = np.flatnonzero(left >= step)
         b = a + step
         fit = 100 * np.minimum(n[a], n[b]) >= SHARE * np.maximum(n[a], n[b])
         a, b = a[fit], b[fit]
         star = begins_band[a] & ((bands[a] == bands[b]) | begins_band[b])
-        out.append(pd.DataFrame({"a": _signed(np.minimum(code[a], code[b])), "b": _signed(np.maximum(code[a], code[b])), "star": star}))
-    pairs = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "star": []})
-    pairs = pairs.groupby(["a", "b"], sort=False)["star"].agg(star="max", shared="size").reset_index()
-    pairs = pairs.astype({"a": "int64", "b": "int64", "star": bool, "shared": "int64"}).assign(shingle=None, code=None, n=None)
+        found.append((np.minimum(code[a], code[b]), np.maximum(code[a], code[b]), star))
+    a, b, star = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind) for k, kind in enumerate((np.uint64, np.uint64, bool)))
+    by = np.lexsort((b, a))
+    a, b, star = a[by], b[by], star[by]
+    at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+    stars = np.maximum.reduceat(star, at) if len(at) else star
+    pairs = pd.DataFrame({"a": _signed(a[at]), "b": _signed(b[at]), "star": stars, "shared": np.diff(np.append(at, len(a)))}).assign(shingle=None, code=None, n=None)
     fragment = int(pdf["fragment"].iloc[0])
     spill = pd.DataFrame({"a": None, "b": None, "star": None, "shared": None, "shingle": _signed((U64(fragment) << U64(40)) + rest[large]), "code": _signed(code[large].copy()), "n": n[large]})
     return pd.concat([pairs, spill]) if len(spill) else pairs
