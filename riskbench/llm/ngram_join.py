@@ -10,7 +10,8 @@ is cut into fragments, and everything that meets across documents does so inside
    there; overlaps are summed per pair, and pairs that cannot reach ``k`` go. Shingles of many documents give a star per size
    band around one of them, from the prefixes with ``k = 1``.
 4. ``verify``: sets of candidates are cut at the fragments of the order, overlaps are counted per fragment and summed per pair.
-5. Stars first, then whatever candidate pairs still lie in different components. Pairs inside a component are not compared, so
+5. Stars first, then whatever candidate pairs still lie in different components and whose odd sketches do not rule a link
+   out. Pairs inside a component are not compared, so
    a group of near copies costs about one comparison a document.
 
 Between Python tasks a fragment travels as packed sorted arrays (differences, by byte plane, compressed).
@@ -33,6 +34,8 @@ MOST_FREQUENT = 1 << 20  # frequent shingles that are told apart by number; the
 FLUSH = 1_500_000  # shingles that a task packs at a time
 PER_FRAGMENT = 1_500_000
 SMALL = 100_000  # documents to verify up to which their ids are broadcast and the texts stay where they are
+HUBS = 3  # stars of frequent shingles that a set takes part in, in the first round and ``STAR_TURNS`` more, before all pairs left
+STAR_TURNS = 2
 CUTS = 4  # fragments of the order in which overlaps are counted
 
 
@@ -113,12 +116,22 @@ def wanted(n):
     return 1 + n // 20
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of 1,024 cells. Sets that differ in d shingles differ in at most d cells."""
+    return np.packbits((np.bincount((s & U64(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.int64)
+
+
+def close(x: str, y: str):
+    """Whether the sketches leave room for a link: linked sets differ in at most (100 - SHARE) / (100 + SHARE) of both sizes."""
+    differ = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(16)), F.lit(0))
+    return (100 + SHARE) * differ <= (100 - SHARE) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 class Order:
     """Frequent shingles as arrays: the marks in order, and the place of each among the frequent ones."""
 
     def __init__(self, rows):
-        marks = np.array([r[0] for r in rows], np.uint64)
-        n = np.array([r[1] for r in rows], np.int64)
+        marks, n = rows.column("mark").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
         by_mark = np.argsort(marks)
         place = np.empty(len(marks), np.int64)
         place[np.lexsort((marks, n))] = np.arange(len(marks))
@@ -168,8 +181,8 @@ def prefixes(docs: DataFrame, order) -> DataFrame:
             counts.append(n_hot)
             few.append(cold)
             owners.append(np.full(len(cold), d))
-            rows += [("frequent", None, None, code[d], int(sizes[d]), None, None, h, p) for h, p in zip(_signed(hot).tolist(), places.tolist())]
-        rows += [("document", i, k, c, n, None, None, None, h) for i, k, c, n, h in zip(ids, keys, code, sizes.tolist(), counts)]
+            rows += [("frequent", None, None, code[d], int(sizes[d]), None, None, h, p, None) for h, p in zip(_signed(hot).tolist(), places.tolist())]
+        rows += [("document", i, k, c, n, None, None, None, h, odd_sketch(s)) for i, k, c, n, h, s in zip(ids, keys, code, sizes.tolist(), counts, sets)]
         if few:
             few, owners = np.concatenate(few) >> U64(24), np.concatenate(owners)
             by = np.argsort(few, kind="stable")
@@ -180,10 +193,10 @@ def prefixes(docs: DataFrame, order) -> DataFrame:
                     docs_here, index = np.unique(owners[a:b], return_inverse=True)
                     parts = [pack(few[a:b] - (U64(k) << U64(40 - bits))), index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()]
                     parts += [codes[docs_here].astype("<u8").tobytes(), sizes[docs_here].astype("<u4").tobytes()]
-                    rows.append(("few", None, None, None, None, k, b"".join(len(p).to_bytes(4, "little") + p for p in parts), None, None))
+                    rows.append(("few", None, None, None, None, k, b"".join(len(p).to_bytes(4, "little") + p for p in parts), None, None, None))
         return rows
 
-    schema = "kind string, doc_id long, set_key binary, code long, n long, fragment int, blob binary, shingle long, place int"
+    schema = "kind string, doc_id long, set_key binary, code long, n long, fragment int, blob binary, shingle long, place int, sketch array<long>"
     return _scan(docs, pack_docs, schema)
 
 
@@ -268,15 +281,32 @@ def candidates(sent: DataFrame) -> tuple[DataFrame, DataFrame]:
     enough = F.col("shared") + F.least("s_a", "s_b") >= k - 1
     summed = summed.join(of("a"), "a").join(of("b"), "b").where(enough).select("a", "b", "star")
     entries = stored(entries.unionByName(late).distinct(), "ngram-entries")
-    banded = entries.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / SHARE)) + 1e-9))
-    hubs = banded.groupBy("shingle", "band").agg(F.min(F.struct("code", "n")).alias("hub"))
-    to_hub = banded.join(hubs, ["shingle", "band"]).select(F.col("hub.code").alias("x"), F.col("code").alias("y"))
+    sketches = sent.where("kind = 'document' and n > 0").groupBy("code").agg(F.first("sketch").alias("sketch"))
+    banded = entries.join(sketches, "code").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / SHARE)) + 1e-9))
+    hubs = banded.groupBy("shingle", "band").agg(F.min(F.struct("code", "n", "sketch")).alias("hub"))
+    to_hub = banded.withColumn("own", F.struct("code", "n", "sketch")).join(hubs, ["shingle", "band"]).where((F.col("hub.code") != F.col("code")) & close("own", "hub"))
+    to_hub = to_hub.select(F.col("hub.code").alias("x"), F.col("code").alias("y"))
+    # Stars only have to bring groups together, so each set keeps the hubs with which it shares most; pairs that stay apart
+    # are all looked at later.
+    met = to_hub.groupBy("y", "x").agg(F.count("*").alias("n")).groupBy("y").agg(F.sort_array(F.collect_list(F.struct("n", "x")), False).alias("hubs"))
+    to_hub = met.select(F.explode(F.slice("hubs", 1, HUBS)).alias("h"), "y").select(F.col("h.x").alias("x"), "y")
     above = hubs.select("shingle", (F.col("band") + 1).alias("band"), F.col("hub").alias("under"))
     across = hubs.join(above, ["shingle", "band"]).where(fitting("hub.n", "under.n")).select(F.col("under.code").alias("x"), F.col("hub.code").alias("y"))
     stars = to_hub.unionByName(across).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(True).alias("star"))
     return summed.unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star")), entries
 
 
+def stars_between(at: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components: each set with the hubs with which it shares most. Hubs change by turn."""
+    banded = at.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / SHARE)) + 1e-9))
+    banded = banded.withColumn("own", F.struct("rep", "n", "sketch", "component"))
+    hubs = banded.groupBy("shingle", "band").agg(F.min_by("own", F.xxhash64("code", F.lit(turn))).alias("hub"))
+    met = banded.join(hubs, ["shingle", "band"]).where((F.col("hub.component") != F.col("component")) & close("own", "hub"))
+    met = met.groupBy("rep", F.col("hub.rep").alias("hub")).agg(F.count("*").alias("n")).groupBy("rep")
+    met = met.agg(F.sort_array(F.collect_list(F.struct("n", "hub")), False).alias("hubs")).select("rep", F.explode(F.slice("hubs", 1, HUBS)).alias("h"))
+    return met.select(F.least("rep", "h.hub").alias("a"), F.greatest("rep", "h.hub").alias("b")).distinct()
+
+
 def fitting(x: str, y: str):
     return 100 * F.least(F.col(x), F.col(y)) >= SHARE * F.greatest(F.col(x), F.col(y))
 
@@ -340,40 +370,50 @@ def components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = texts(docs)
-    top = frequent(docs).orderBy(F.desc("n"), "mark").limit(MOST_FREQUENT).collect()
+    top = frequent(docs).orderBy(F.desc("n"), "mark").limit(MOST_FREQUENT).toArrow()
     sent = stored(prefixes(docs, shared(spark, Order(top))), "ngram-prefixes")
-    rows = stored(sent.where("kind = 'document'").select("doc_id", "set_key", "code", "n"), "ngram-documents")
+    rows = stored(sent.where("kind = 'document'").select("doc_id", "set_key", "code", "n", "sketch"), "ngram-documents")
     named = rows.where("doc_id is not null and n > 0")
-    classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("code").alias("code"), F.first("n").alias("n")), "ngram-classes")
+    classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("code").alias("code"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "ngram-classes")
     pairs, entries = candidates(sent)
-    of = lambda name: classes.select(F.col("code").alias(name), F.col("rep").alias(f"rep_{name}"))
-    named_pairs = pairs.join(of("a"), "a").join(of("b"), "b").where("rep_a != rep_b")
+    of = lambda name: classes.select(F.col("code").alias(name), F.col("rep").alias(f"rep_{name}"), F.struct("n", "sketch").alias(f"of_{name}"))
+    named_pairs = pairs.join(of("a"), "a").join(of("b"), "b").where((F.col("rep_a") != F.col("rep_b")) & close("of_a", "of_b"))
     known = stored(named_pairs.groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).agg(F.max("star").alias("star")), "ngram-candidates")
     linked = stored(verify(docs, known.where("star"), classes), "ngram-links")
     # Rows of one doc_id with different texts are one document.
     same = named.join(classes.select("set_key", "rep"), "set_key").where("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     repeated = named.groupBy("doc_id").agg(F.count_distinct("set_key").alias("k")).where("k > 1").select("doc_id")
     same = same.join(repeated, same["b"] == repeated["doc_id"], "left_semi").distinct()
-    labels = stored(connected(linked.unionByName(same)), "ngram-labels")
+    tried, at = known.where("star").select("a", "b"), None
+    for turn in range(STAR_TURNS + 1):
+        labels = stored(connected(linked.unionByName(same)), "ngram-labels")
+        member = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("code", "n", "rep", "sketch", F.coalesce("component", "rep").alias("component"))
+        at = entries.select("shingle", "code", "place").join(member, "code")
+        apart = at.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
+        at = at.join(apart, "shingle")
+        if turn == STAR_TURNS:
+            break
+        again = stored(stars_between(at, turn).join(tried, ["a", "b"], "left_anti"), "ngram-stars")
+        if again.isEmpty():
+            break
+        tried = tried.unionByName(again)
+        linked = linked.unionByName(stored(verify(docs, again, classes), "ngram-links"))
     # What is left: candidate pairs whose sides are still apart.
-    member = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("code", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    at = entries.select("shingle", "code", "place").join(member, "code")
-    apart = at.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
-    at = at.join(apart, "shingle")
     x, y = at.alias("x"), at.alias("y")
     room = lambda s: F.col(f"{s}.n") - F.col(f"{s}.place")  # noqa: E731  shingles from here to the end of the order
     crossing = x.join(y, "shingle").where(
         (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & fitting("x.n", "y.n")
         & ((100 + SHARE) * F.least(room("x"), room("y")) >= SHARE * (F.col("x.n") + F.col("y.n")))
+        & close("x", "y")
     )
     crossing = crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     label = lambda name: member.select(F.col("rep").alias(name), F.col("component").alias(f"c_{name}"))
     more = known.where("not star").select("a", "b").join(label("a"), "a").join(label("b"), "b").where("c_a != c_b").select("a", "b")
-    left = stored(more.unionByName(crossing).distinct().join(known.where("star").select("a", "b"), ["a", "b"], "left_anti"), "ngram-left")
+    left = stored(more.unionByName(crossing).distinct().join(tried, ["a", "b"], "left_anti"), "ngram-left")
     final = labels
     if not left.isEmpty():
         added = verify(docs, left, classes)
         final = stored(connected(linked.unionByName(same).unionByName(added)), "ngram-labels")
     by_set = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(by_set, "set_key", "left")
+    out = rows.drop("sketch").join(by_set, "set_key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
