@@ -217,7 +217,7 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
 
     def rewrite(text: str, terms) -> str:
         spans = [(a, b, f"<{KINDS[k]}>") for k, a, b in base_spans(text)]
-        spans += [(s["start"], s["end"], "" if s["action"] == "remove" else "<term>") for s in terms or []]
+        spans += [(s["start"], s["end"], "" if s["action"] == "remove" else "<term>") for s in (() if terms is None else terms)]
         out, at = [], 0
         for a, b, mark in sorted(spans):
             if a >= at:
