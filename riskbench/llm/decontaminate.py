@@ -90,6 +90,7 @@ class Benchmark:
         hashes = WordHashes()
         rows = [(i, hashes.of([w.encode() for w in WORD.findall((t or "").lower())])) for i, t in items]
         self.items = [(i, w) for i, w in rows if len(w) >= FEWEST]
+        self.vocabulary = [set(w.tolist()) for _, w in self.items]
         self.edits, self.classes = edits, []
         self.longest = max((len(w) for _, w in self.items), default=0)
         rng, low = np.random.default_rng(seed), FEWEST
@@ -163,21 +164,35 @@ class Benchmark:
                     out.update((d, int(owners[x, 0]), int(starts[s] - begins[d]) - int(owners[x, 1])) for x in range(a, b))
         return out
 
+    def _settle(self, docs: list[np.ndarray], best: dict, d: int, k: int, first: int, last: int) -> None:
+        """Put the best match of item ``k`` in the region around begins ``first`` to ``last`` into ``best``, if it is close enough."""
+        item, words = self.items[k][1], docs[d]
+        most = int(self.edits * len(item))
+        a, b = max(0, first - most - 1), min(len(words), last + len(item) + most + 1)
+        region = words[a:b]
+        # Every distinct word of the item that the region lacks costs an edit.
+        if len(self.vocabulary[k].difference(region.tolist())) > most:
+            return
+        edits, start, end = best_match(item, region)
+        if edits <= most:
+            found = (edits, a + start, a + end)
+            best[d, k] = min(best.get((d, k), found), found)
+
     def leaks(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """(document, item, edits, first word, word after the last): the best verified match per pair."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, k, begin in self.candidates(docs):
-            item, words = self.items[k][1], docs[d]
-            most = int(self.edits * len(item))
-            slack = most + 1
-            a, b = max(0, begin - slack), min(len(words), begin + len(item) + slack)
-            region = words[a:b]
-            # Every word of the item that the region lacks costs an edit.
-            if len(item) - np.isin(item, region).sum() > most:
+        before = None
+        for d, k, begin in sorted(self.candidates(docs)):
+            most = int(self.edits * len(self.items[k][1]))
+            # Candidates of one item that begin close together are one region.
+            if before and before[:2] == (d, k) and begin - before[3] <= most + 1:
+                before = (d, k, before[2], begin)
                 continue
-            edits, start, end = best_match(item, region)
-            if edits <= most:
-                best[d, k] = min(best.get((d, k), (edits, a + start, a + end)), (edits, a + start, a + end))
+            if before:
+                self._settle(docs, best, *before)
+            before = (d, k, begin, begin)
+        if before:
+            self._settle(docs, best, *before)
         return [(d, k, *v) for (d, k), v in sorted(best.items())]
 
 
