@@ -340,15 +340,15 @@ def test_holm(spark, sf_dir):
     ctes(SUBJECTS, SCORES) + """
     , c AS (SELECT record_id % 400 AS site, ((p_a >= 0.5)::INT = cardio) AS a, ((p_b >= 0.5)::INT = cardio) AS b FROM scores)
     , n AS (SELECT site, COUNT(*) FILTER (a AND NOT b) AS x, COUNT(*) FILTER (NOT a AND b) AS y FROM c GROUP BY site)
-    , p AS (SELECT *, x + y AS d, CASE WHEN x + y = 0 THEN 1 ELSE LEAST(1, 2 * (SELECT SUM(factorial((x+y)::INT)::DOUBLE / (factorial(i::INT)::DOUBLE * factorial((x+y-i)::INT)::DOUBLE)) FROM range(25) t(i) WHERE i <= LEAST(x, y)) * pow(0.5::DOUBLE, x+y)) END AS p FROM n)
-    SELECT CASE WHEN d < 10 THEN 'inconclusive' WHEN p >= 0.05 THEN 'no significant difference' WHEN x > y THEN 'A is better' ELSE 'B is better' END AS verdict,
-           COUNT(*) AS sites FROM p WHERE d < 25 GROUP BY 1""",
+    , p AS (SELECT *, x + y AS d, CASE WHEN x + y = 0 THEN 1 ELSE LEAST(1, 2 * (SELECT SUM(factorial(LEAST(x+y, 24)::INT)::DOUBLE / (factorial(i::INT)::DOUBLE * factorial(GREATEST(LEAST(x+y, 24)-i, 0)::INT)::DOUBLE)) FROM range(25) t(i) WHERE i <= LEAST(x, y)) * pow(0.5::DOUBLE, x+y)) END AS p FROM n)
+    SELECT CASE WHEN d < 10 THEN 'inconclusive' WHEN d < 25 AND p >= 0.05 OR d >= 25 AND (abs(x - y) - 1) * (abs(x - y) - 1) / d::DOUBLE <= 3.841458820694124 THEN 'no significant difference' WHEN x > y THEN 'A is better' ELSE 'B is better' END AS verdict,
+           COUNT(*) AS sites FROM p GROUP BY 1""",
 )
 def test_verdicts(spark, sf_dir):
-    """Exact tests of 400 sites, counted by verdict."""
+    """Tests of 400 sites, exact below 25 discordant cases and by chi-square from there, counted by verdict."""
     from .metric_queries import long_scores
 
     pred = long_scores(spark, sf_dir).withColumn("site", F.col(S.ID) % 400)
-    t = T.mcnemar(T.paired_correctness(pred, "logreg", "mlp", by=["site"])).where("n_discordant < 25")
+    t = T.mcnemar(T.paired_correctness(pred, "logreg", "mlp", by=["site"]))
     v = F.regexp_extract("verdict", "^(inconclusive|no significant difference|A is better|B is better)", 1)
     return t.groupBy(v.alias("verdict")).agg(F.count("*").alias("sites"))

@@ -65,17 +65,20 @@ def quantile(p: float, df: Column) -> Column:
 
 
 def binomial_two_sided(k: Column, n: Column) -> Column:
-    """min(1, 2 * P(X <= k)) for X binomial with n trials at one half; n is small (the exact test runs below 25)."""
+    """min(1, 2 * P(X <= k)) for X binomial with n trials at one half and k at most n / 2, for any n.
+
+    The largest term is held as a logarithm, the sum relative to it, so nothing overflows or vanishes.
+    """
     n, k = n.cast("double"), k.cast("int")
-    zero = F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("sum"))
+    start = F.struct(F.lit(0.0).alias("log_term"), F.lit(1.0).alias("sum"))
 
     def step(acc, i):
-        c = acc["c"] * (n - i + 1) / i
-        return F.struct(c.alias("c"), (acc["sum"] + c).alias("sum"))
+        ratio = (n - i + 1) / i
+        return F.struct((acc["log_term"] + F.ln(ratio)).alias("log_term"), (1.0 + acc["sum"] / ratio).alias("sum"))
 
     steps = F.when(k >= 1, F.sequence(F.lit(1), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    tail = F.aggregate(steps, zero, step, lambda a: a["sum"])
-    return F.least(F.lit(1.0), 2 * tail * F.pow(F.lit(0.5), n))
+    log_tail = F.aggregate(steps, start, step, lambda a: a["log_term"] + F.ln(a["sum"]))
+    return F.least(F.lit(1.0), 2 * F.exp(log_tail - n * math.log(2.0)))
 
 
 def chi2_1_upper(x: Column) -> Column:

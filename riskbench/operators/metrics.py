@@ -28,6 +28,14 @@ def label_violations(pred: DataFrame, y: str = "y") -> DataFrame:
     return pred.agg(F.count("*").alias("n"), sum_when(c.isNull() | ~c.isin(0, 1)).cast("long").alias("bad_labels"))
 
 
+def checked(pred: DataFrame) -> DataFrame:
+    """``pred`` whose rows fail the job when a label ``y`` is not 0 or 1 or a score ``p`` is missing or no number."""
+    y, p = F.col("y"), F.col("p").cast("double")
+    label = F.when(y.isin(0, 1), y).otherwise(F.raise_error(F.concat(F.lit("label must be 0 or 1: "), F.coalesce(y.cast("string"), F.lit("null")))))
+    score = F.when(p.isNotNull() & ~F.isnan(p), p).otherwise(F.raise_error(F.lit("score is missing or not a number")))
+    return pred.withColumns({"y": label.cast(pred.schema["y"].dataType), "p": score})
+
+
 # ---------------------------------------------------------------- rates from confusion counts
 
 
@@ -97,7 +105,7 @@ def confusion(pred: DataFrame, groups: Sequence[str], threshold: float | Column
     """(groups..., tn, fp, fn, tp); p >= threshold is positive."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     y, hit = F.col("y") == 1, F.col("p") >= t
-    return pred.groupBy(*groups).agg(
+    return checked(pred).groupBy(*groups).agg(
         sum_when(~y & ~hit).cast("long").alias("tn"),
         sum_when(~y & hit).cast("long").alias("fp"),
         sum_when(y & ~hit).cast("long").alias("fn"),
@@ -110,7 +118,7 @@ def confusion(pred: DataFrame, groups: Sequence[str], threshold: float | Column
 
 def distinct_scores(pred: DataFrame, groups: Sequence[str]) -> DataFrame:
     """(groups..., p, n, pos, neg): one row per distinct score."""
-    d = pred.groupBy(*groups, "p").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("pos"))
+    d = checked(pred).groupBy(*groups, "p").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("pos"))
     return d.withColumn("neg", F.col("n") - F.col("pos"))
 
 

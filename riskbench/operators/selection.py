@@ -8,6 +8,7 @@ already chosen.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -202,19 +203,20 @@ def greedy(mi: dict[str, float], rho: dict[tuple[str, str], float], k: int, pena
     """
     if k < 1 or penalty < 0:
         raise ValueError("k must be >= 1 and the penalty >= 0")
-    left = [f for f in CANDIDATE_FEATURES if f in mi]
-    first = max(left, key=lambda f: mi[f])
-    chosen = [(first, mi[first])]
-    left.remove(first)
-    while left and len(chosen) < k:
-        best: tuple[str, float] | None = None
-        for f in left:
-            score = mi[f] - penalty * max(rho.get((f, c), rho.get((c, f), 0.0)) for c, _ in chosen)
-            near = best is not None and math.isclose(score, best[1], rel_tol=1e-5, abs_tol=1e-8)
-            if best is None or score > best[1] or (near and f < best[0]):
-                best = (f, score)
-        chosen.append(best)
-        left.remove(best[0])
+    both = rho | {(b, a): r for (a, b), r in rho.items()}
+    redundancy = {f: 0.0 for f in CANDIDATE_FEATURES if f in mi}  # with the choices so far
+    chosen: list[tuple[str, float]] = []
+    while redundancy and len(chosen) < k:
+        score = {f: mi[f] - penalty * r for f, r in redundancy.items()}
+
+        def ahead(a: str, b: str) -> str:
+            tied = bool(chosen) and math.isclose(score[b], score[a], rel_tol=1e-5, abs_tol=1e-8)  # noqa: B023
+            return b if score[b] > score[a] or (tied and b < a) else a  # noqa: B023
+
+        pick = reduce(ahead, redundancy)
+        met = [both.get((f, pick), 0.0) for f in redundancy]
+        redundancy = {f: max(r, m) if chosen else m for (f, r), m in zip(redundancy.items(), met) if f != pick}
+        chosen.append((pick, score[pick]))
     return chosen
 
 

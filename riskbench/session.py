@@ -49,6 +49,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/riskbench/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a job that wrote ``path`` came to its end."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a table that several jobs read, and read it back: short lineage, safe against lost executors.
 

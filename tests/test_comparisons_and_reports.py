@@ -114,3 +114,16 @@ def test_catalog(spark):
     assert [r["model"] for r in MC.catalog(spark).collect()] == MC.names()
     with pytest.raises(KeyError, match="logreg"):
         MC.spec("nothing")
+
+
+def test_exact_binomial_for_many_cases(spark):
+    from fractions import Fraction
+    from math import comb
+
+    from riskbench.functions.tails import binomial_two_sided
+
+    cases = [(0, 5), (3, 10), (40, 100), (700, 1500)]
+    got = spark.createDataFrame(cases, "k int, n int").select("k", "n", binomial_two_sided(F.col("k"), F.col("n")).alias("p")).collect()
+    for r in got:
+        want = min(1.0, float(Fraction(2 * sum(comb(r["n"], i) for i in range(r["k"] + 1)), 2 ** r["n"])))
+        assert abs(r["p"] - want) < 1e-9 * want

@@ -103,3 +103,12 @@ def test_bootstrap(spark, scored):
     assert one(M.bootstrap_ci(df, [], n_boot=400)) == ci
     with pytest.raises(ValueError):
         M.bootstrap_ci(df, [], "roc_auc")
+
+
+@pytest.mark.parametrize("y, p", [(2, 0.5), (None, 0.5), (1, None), (1, float("nan"))])
+def test_bad_labels_and_scores_are_refused(spark, y, p):
+    pred = spark.createDataFrame([(1, 0.5, 0), (0, 0.4, 0), (y, p, 0)], "y int, p double, g int")
+    with pytest.raises(Exception, match="label must be|score is missing"):
+        M.confusion(pred, ["g"]).collect()
+    with pytest.raises(Exception, match="label must be|score is missing"):
+        M.distinct_scores(pred, ["g"]).collect()
