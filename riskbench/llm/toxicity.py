@@ -12,6 +12,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_batches, shared, texts
@@ -166,8 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: i
     """A machine trained on at most ``most`` labelled rows, chosen before their texts are read into terms."""
     chosen = bounded_sample(labelled(labels, label, allowed), most)
     rows = hashed(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(chosen, "doc_id")
-    rows = rows.toPandas().sort_values("doc_id")
-    return train(Rows.of(list(zip(rows["terms"], rows["counts"]))), rows["y"].to_numpy(float))
+    got = rows.select("doc_id", "y", "terms", "counts").toArrow()  # packed: lists of numbers take ten times the room
+    flat = lambda name: got[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(got["terms"]).to_numpy(zero_copy_only=False).astype(np.int64) if len(got) else np.zeros(0, np.int64)
+    sparse = Rows(flat("terms").astype(np.int64), flat("counts").astype(float), np.append(0, np.cumsum(sizes)))
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    return train(sparse.take(order), got["y"].to_numpy().astype(float)[order])
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = 20_000, threshold: float = 0.7, folds: int = 3, held: int = 1) -> DataFrame:
