@@ -52,7 +52,7 @@ def idf(files: DataFrame) -> DataFrame:
 
 
 def cosines(segments: DataFrame, weights: DataFrame, idfs: DataFrame) -> DataFrame:
-    """(segment, licence, cosine) of the best template of each distinct segment; of equal cosines the last licence by name.
+    """(key, licence, cosine) of the best template of each of ``segments`` (key, segment), which are distinct; of equal cosines the last licence by name.
 
     ``weights`` and ``idfs`` have a row per template word and are broadcast. Words of no template, and template words of no
     file, weigh like a word of no file.
@@ -62,13 +62,13 @@ def cosines(segments: DataFrame, weights: DataFrame, idfs: DataFrame) -> DataFra
     t = weighed(weights)
     size = t.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     t = t.join(F.broadcast(size), "template").groupBy("term").agg(F.collect_list(F.struct("template", "licence", (F.col("w") / F.col("norm")).alias("w"))).alias("of"))
-    tf = segments.select("segment", F.explode(words(F.col("segment"))).alias("term")).groupBy("segment", "term").agg(F.count("*").alias("tf"))
+    tf = segments.select("key", F.explode(words(F.col("segment"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     hit = weighed(tf).join(F.broadcast(t), "term", "left")
-    norm = hit.groupBy("segment").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = hit.where("of is not null").select("segment", "w", F.explode("of").alias("t"))
-    dot = dot.groupBy("segment", "t.template", "t.licence").agg(F.sum(F.col("w") * F.col("t.w")).alias("dot"))
-    best = dot.join(norm, "segment").select("segment", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "licence")
-    return best.groupBy("segment").agg(F.max(F.struct("cosine", "licence")).alias("best")).select("segment", "best.*")
+    norm = hit.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dot = hit.where("of is not null").select("key", "w", F.explode("of").alias("t"))
+    dot = dot.groupBy("key", "t.template", "t.licence").agg(F.sum(F.col("w") * F.col("t.w")).alias("dot"))
+    best = dot.join(norm, "key").select("key", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "licence")
+    return best.groupBy("key").agg(F.max(F.struct("cosine", "licence")).alias("best")).select("key", "best.*")
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -83,9 +83,10 @@ def scan(files: DataFrame) -> DataFrame:
     names = lambda c: F.lower(c).rlike(NAMES)
     named = files.where(names(F.col("text"))).select("path", "text", F.filter(F.array_distinct(F.split("text", "\n")), names).alias("lines"))
     pairs = named.select("path", "text", F.explode(F.array_union("lines", F.array("text"))).alias("segment"))
-    pairs = pairs.select("path", "segment", (F.col("segment") == F.col("text")).alias("whole"))
-    scored = cosines(pairs.select("segment").distinct(), template_weights(spark), stored(idf(files), "license-idf"))
-    pairs = pairs.distinct().join(scored.where(F.col("cosine") >= FILE), "segment")
+    # A digest stands for the segment, so that no word carries a whole text along.
+    pairs = pairs.select("path", "segment", F.unhex(F.md5("segment")).alias("key"), (F.col("segment") == F.col("text")).alias("whole"))
+    scored = cosines(pairs.groupBy("key").agg(F.first("segment").alias("segment")), template_weights(spark), stored(idf(files), "license-idf"))
+    pairs = pairs.select("path", "key", "whole").distinct().join(scored.where(F.col("cosine") >= FILE), "key")
     top = lambda ok, what: F.max_by(F.when(ok, F.col(what)), F.when(ok, F.struct("cosine", "licence")))
     header, whole = F.col("cosine") >= HEADER, F.col("whole")
     own = pairs.groupBy("path").agg(
