@@ -47,19 +47,19 @@ def shared(spark: SparkSession, value):
 
 
 class WordHashes(dict):
-    """64-bit hashes of byte words, remembered up to ``most`` words."""
+    """64-bit hashes of words (bytes, or text as UTF-8), remembered up to ``most`` words."""
 
     def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
+    def __missing__(self, word: bytes | str) -> int:
+        h = xxhash.xxh64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
         if len(self) < self.most:
             self[word] = h
         return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
 
 

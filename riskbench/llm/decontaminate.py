@@ -47,12 +47,12 @@ def walk(words: np.ndarray, starts: np.ndarray, seed: int, steps: list[int], kno
         while j < step:
             if bits is None or j % 64 == 0:
                 bits = mix(words ^ mix(np.array([seed * 1000 + j // 64], U64)))
-            at += ((bits[at] >> U64(j % 64)) & U64(1)).astype(np.int64)
+            at += (bits[at] >> U64(j % 64) & U64(1)).view(np.int64)
             j += 1
         with np.errstate(over="ignore"):
             hashes = mix(hashes * U64(31) + words[at])
         if known is not None:
-            keep = member(hashes, known[k]) >= 0
+            keep = present(hashes, known[k])
             at, alive, hashes = at[keep], alive[keep], hashes[keep]
     return hashes, alive
 
@@ -65,6 +65,14 @@ def member(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == x, at, -1)
 
 
+def present(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    """Positions of the x that are among sorted distinct values. A small table of their low bits spares most searches."""
+    low = np.zeros(1 << 16, bool)
+    low[sorted_values & U64(0xFFFF)] = True
+    some = np.flatnonzero(low[x & U64(0xFFFF)])
+    return some[member(x[some], sorted_values) >= 0]
+
+
 def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """(edits, start, end): the stretch of ``region`` with the smallest edit distance to ``item``, in words."""
     n = len(region)
@@ -88,7 +96,7 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int | None, str]], edits: float, design: float, recall: float, samples: int = 4, seed: int = 1):
         hashes = WordHashes()
-        rows = [(i, hashes.of([w.encode() for w in WORD.findall((t or "").lower())])) for i, t in items]
+        rows = [(i, hashes.of(WORD.findall((t or "").lower()))) for i, t in items]
         self.items = [(i, w) for i, w in rows if len(w) >= FEWEST]
         self.vocabulary = [set(w.tolist()) for _, w in self.items]
         self.edits, self.classes = edits, []
@@ -225,7 +233,7 @@ def _against(docs: DataFrame, compiled) -> DataFrame:
         bench, hashes = compiled.value, WordHashes()
 
         def step(b):
-            words = [hashes.of([w.encode("utf-8", "surrogatepass") for w in WORD.findall(t.lower())]) for t in b["text"]]
+            words = [hashes.of(WORD.findall(t.lower())) for t in b["text"]]
             rows = []
             for d, k, edits, first, last in bench.leaks(words):
                 spans = [m.span() for m in WORD.finditer(b["text"][d])] if len(b["text"][d].lower()) == len(b["text"][d]) else None
