@@ -44,9 +44,11 @@ def fit_cuts(
         T.StructType([df.schema[g] for g in groups]) if groups else "one int",
     )
     big = df.join(F.broadcast(large), groups, "left_semi") if groups else df
-    cuts = big.groupBy(*groups).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(F.col(order), probs, 10_000))).alias("_cuts")
-    )
+    cuts = big.groupBy(*groups).agg(F.percentile_approx(F.col(order), probs, 10_000).alias("_grid"), F.count(order).alias("_n"))
+    # The grid suits the largest group; a smaller one keeps as many of its points, evenly spaced, as its own size asks for.
+    own = F.least(F.lit(grid), F.floor(F.col("_n") / rows_per_range) + 1).cast("int")
+    evenly = F.transform(F.sequence(F.lit(1), own), lambda i: F.get("_grid", F.round(i * (grid + 1) / (own + 1)).cast("int") - 1))
+    cuts = cuts.select(*groups, F.array_sort(F.array_distinct(evenly)).alias("_cuts"))
     rows = [tuple(r) for r in cuts.collect()]
     return df.sparkSession.createDataFrame(rows, T.StructType([df.schema[g] for g in groups] + [cuts.schema["_cuts"]]))
 
@@ -103,7 +105,13 @@ def running_sums(
         )
     )
     upto = W.partitionBy(*keys).orderBy(by(order)).rowsBetween(W.unboundedPreceding, 0)
-    out = ranged.join(offsets, keys).withColumns({f"cum_{v}": F.sum(v).over(upto) + F.col(f"_before_{v}") for v in values})
+    if groups:
+        joined = ranged.join(offsets, keys)
+    else:
+        # One row per range, MAX_CUTS + 1 at most. Null-safe, as from a plain equality the planner infers a filter on the sums
+        # that holds the expression behind ``_range``, whose column they lack.
+        joined = ranged.join(F.broadcast(offsets.withColumnRenamed("_range", "_at")), F.col("_range").eqNullSafe(F.col("_at"))).drop("_at")
+    out = joined.withColumns({f"cum_{v}": F.sum(v).over(upto) + F.col(f"_before_{v}") for v in values})
     return out.drop("_range", *[f"_before_{v}" for v in values])
 
 

@@ -86,3 +86,13 @@ def test_training_statistics_are_fold_local(request, spark, ranges):
     changed = np.where(fold == 1, 1e6, x)
     again = {r["fold"]: r["median"] for r in FS.train_medians(table(changed), ["x"], k).collect()}
     assert again[1] == med[1] and again[0] != med[0]
+
+
+def test_cuts_grow_with_rows_not_with_the_largest_group(spark):
+    """One large and many medium groups: at most one cut per range, and one more per group."""
+    large = spark.range(40_000).select(F.lit(0).alias("g"), "id")
+    medium = spark.range(20_000).select((1 + F.col("id") % 10).cast("int").alias("g"), "id")
+    cuts = O.fit_cuts(large.unionByName(medium), ["g"], "id", rows_per_range=1000)
+    per_group = {r["g"]: len(r["_cuts"]) for r in cuts.collect()}
+    assert sum(per_group.values()) <= 60_000 / 1000 + len(per_group)
+    assert len(per_group) == 11 and per_group[0] >= 39 and per_group[1] >= 2
