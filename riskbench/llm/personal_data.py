@@ -1,9 +1,10 @@
-"""Personal data: base patterns, then information-theoretic sanitisation of what stands around them.
+"""Personal data: base patterns, then information-theoretic sanitisation of the terms that give them away.
 
 A term reveals an entity as far as knowing the term makes the entity likelier. With counts of documents over the whole corpus
-(N all, n_e with the entity, n_t with the term, n_te with the term near the entity) the entity carries ln(N / n_e) of
+(N all, n_e with the entity, n_t with the term, n_te with both, anywhere in the text) the entity carries ln(N / n_e) of
 information and the term gives away its pointwise mutual information ln(n_te N / (n_t n_e)). Their quotient is the disclosure:
-1 if the term only ever stands beside the entity. Terms above a threshold are generalised, above a higher one removed.
+1 if the term only ever stands in documents of the entity. Terms above a threshold are generalised, above a higher one removed,
+wherever they stand: in every text of the corpus, with the entity or without it.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
-from .common import map_batches, texts
+from .common import WordHashes, map_batches, shared, texts
 
 KINDS = ["email", "ip", "card", "phone"]
+MARKS = 1 << 20  # bytes of a table of low bits
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A run of digits is entered only at its start: if it fails there, it fails at every later digit of the run.
@@ -65,18 +67,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def near(text: str, start: int, end: int, words: int) -> list[tuple[int, int]]:
-    """Spans of up to ``words`` terms on each side of a finding, whole words of at most 400 letters around it."""
-    a, b = max(0, start - 400), min(len(text), end + 400)
-    before = [m.span() for m in _TERM.finditer(text, a, start)]
-    if a and before and before[0][0] == a:
-        before = before[1:]
-    after = [m.span() for m in _TERM.finditer(text, end, b)]
-    if b < len(text) and after and after[-1][1] == b:
-        after = after[:-1]
-    return before[-words:] + after[:words]
-
-
 def code(value: str) -> int:
     h = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >= 1 << 63 else h
@@ -96,7 +86,7 @@ def find_base(docs: DataFrame) -> DataFrame:
     def make():
         def step(b):
             spans = [base_spans(t) for t in b["text"]]
-            out = {"doc_id": b["doc_id"], "text_key": [text_key(t) if s else None for s, t in zip(spans, b["text"])], "base": list(map(_shown, spans))}
+            out = {"doc_id": b["doc_id"], "text_key": list(map(text_key, b["text"])), "base": list(map(_shown, spans))}
             return out | {f"n_{kind}": [sum(k == n for n, _, _ in s) for s in spans] for k, kind in enumerate(KINDS)}
 
         return step
@@ -104,73 +94,117 @@ def find_base(docs: DataFrame) -> DataFrame:
     return map_batches(texts(docs), make, "doc_id long, text_key binary, base string, " + ", ".join(f"n_{k} long" for k in KINDS))
 
 
-def neighbours(docs: DataFrame, words: int) -> DataFrame:
-    """text_key, entity, term (both as 64-bit codes), start, end: each term near a base finding, and outside all of them.
+class Passing(dict):
+    """Code of a word, or None if its low bits are not in ``marks``; remembers up to ``most`` words."""
 
-    A finding without any term near it has a row with a null term, so that its documents are counted.
-    """
+    def __init__(self, marks: bytes, most: int = 400_000):
+        super().__init__()
+        self.marks, self.most = marks, most
 
-    def make():
-        def step(b):
-            rows = []
-            for t in b["text"]:
-                spans = base_spans(t)
-                if not spans:
-                    continue
-                key, inside = text_key(t), sorted((a, e) for _, a, e in spans)
-                for k, a, e in spans:
-                    entity = code(KINDS[k] + ":" + t[a:e].lower())
-                    rows.append((key, entity, None, None, None))
-                    for x, y in near(t, a, e, words):
-                        if not any(p < y and x < q for p, q in inside[max(0, _first(inside, x) - 4) : _first(inside, y) + 1]):
-                            rows.append((key, entity, code(t[x:y].lower()), x, y))
-            return dict(zip(("text_key", "entity", "term", "start", "end"), zip(*rows))) if rows else {k: [] for k in ("text_key", "entity", "term", "start", "end")}
+    def __missing__(self, word: str) -> int | None:
+        n = code(word.lower())
+        n = n if self.marks[n & (MARKS - 1)] else None
+        if len(self) < self.most:
+            self[word] = n
+        return n
 
-        return step
 
-    return map_batches(texts(docs), make, "text_key binary, entity long, term long, start int, end int")
+def marks_of(codes: DataFrame, column: str):
+    """A broadcast table of the low bits of a column of codes, of ``MARKS`` bytes whatever their number."""
+    table = bytearray(MARKS)
+    for r in codes.select(F.expr(f"{column} & {MARKS - 1}").cast("int").alias("k")).distinct().toLocalIterator():
+        table[r["k"]] = 1
+    return shared(codes.sparkSession, bytes(table))
 
 
-def _first(spans: list[tuple[int, int]], x: int) -> int:
-    from bisect import bisect_left
+def _entities(text: str) -> set[str]:
+    return {KINDS[k] + ":" + text[a:e].lower() for k, a, e in base_spans(text)}
 
-    return bisect_left(spans, (x, -1))
 
+def _terms(text: str) -> set[str]:
+    return {w.lower() for w in set(_TERM.findall(text))}
 
-def document_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
-    """(term, n): how many documents hold each term, over all terms of all whole texts; the term null counts the documents.
 
-    Each task adds up in memory and hands on its sums whenever it holds ``most`` terms, so few rows are shuffled.
+def _summed(docs: DataFrame, keys: list[str], make, most: int) -> DataFrame:
+    """(*keys, n): sums over all documents of what ``make()`` adds to a counter for each text.
+
+    ``make()(text, sums)`` yields where the counter may be handed on. Each task adds up in memory and hands on its sums
+    whenever it holds ``most`` keys, so few rows are shuffled.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        def out(sums):
-            keys = list(sums)
-            return pa.RecordBatch.from_arrays([pa.array([None if k is None else code(k) for k in keys], pa.int64()), pa.array([sums[k] for k in keys], pa.int64())], ["term", "n"])
+        def out():
+            columns = list(zip(*sums)) if len(keys) > 1 else [list(sums)]
+            arrays = [pa.array([code(v) if isinstance(v, str) else v for v in c], pa.int64()) for c in (*columns, sums.values())]
+            return pa.RecordBatch.from_arrays(arrays, [*keys, "n"])
 
-        sums: Counter = Counter()
+        sums, add = Counter(), make()
         for batch in batches:
             for k in range(batch.num_rows):
-                sums.update(set(_TERM.findall(batch.column(0)[k].as_py().lower())))
-                sums[None] += 1
-                if len(sums) > most:
-                    yield out(sums)
-                    sums.clear()
+                for _ in add(batch.column(0)[k].as_py(), sums):
+                    if len(sums) > most:
+                        yield out()
+                        sums.clear()
         if sums:
-            yield out(sums)
+            yield out()
+
+    rows = texts(docs).select("text").mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "n"]))
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def document_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
+    """(term, n): how many documents hold each term, over all terms of all whole texts; the term null counts the documents."""
+
+    def make():
+        def add(text, sums):
+            sums.update(_terms(text))
+            sums[None] += 1
+            yield
+
+        return add
+
+    return _summed(docs, ["term"], make, most)
+
+
+def entity_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
+    """(entity, n): how many documents hold each base finding."""
+
+    def make():
+        def add(text, sums):
+            sums.update(_entities(text))
+            yield
 
-    return texts(docs).select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        return add
 
+    return _summed(docs, ["entity"], make, most)
 
-def disclosing(docs: DataFrame, occurrences: DataFrame, generalise: float, support: int) -> DataFrame:
-    """(entity, term, disclosure) of pairs that stand together in ``support`` documents or more and reach ``generalise``."""
-    copies = find_copies(docs)
-    held = occurrences.select("text_key", "entity", "term").distinct().join(copies, "text_key")
-    pairs = held.groupBy("entity", "term").agg(F.sum("copies").alias("n"))
-    entities = pairs.where("term is null").select("entity", F.col("n").alias("n_e"))
-    joint = pairs.where((F.col("n") >= support) & F.col("term").isNotNull()).withColumnRenamed("n", "n_te")
+
+def joint_counts(docs: DataFrame, marks, most: int = 200_000) -> DataFrame:
+    """(entity, term, n): how many documents hold both, anywhere in the text, for the entities that ``marks`` lets pass."""
+
+    def make():
+        passing, hashes = Passing(marks.value), WordHashes()
+
+        def add(text, sums):
+            entities = [n for e in _entities(text) if (n := passing[e]) is not None]
+            if entities:
+                terms = [n - (1 << 64) if (n := hashes[t]) >= 1 << 63 else n for t in _terms(text)]
+                for e in entities:
+                    sums.update((e, t) for t in terms)
+                    yield
+
+        return add
+
+    return _summed(docs, ["entity", "term"], make, most)
+
+
+def disclosing(docs: DataFrame, generalise: float, support: int) -> DataFrame:
+    """(entity, term, disclosure) of pairs that share ``support`` documents or more and reach ``generalise``."""
+    # An entity in fewer documents shares fewer with any term.
+    entities = stored(entity_counts(docs).where(F.col("n") >= support).withColumnRenamed("n", "n_e"), "entity-documents")
+    joint = joint_counts(docs, marks_of(entities, "entity")).where(F.col("n") >= support).withColumnRenamed("n", "n_te")
     counts = stored(document_counts(docs), "term-documents")
     total = counts.where("term is null").select("n").scalar()
     known = joint.join(entities, "entity").join(counts.withColumnRenamed("n", "n_t"), "term").withColumn("n_all", total)
@@ -179,22 +213,61 @@ def disclosing(docs: DataFrame, occurrences: DataFrame, generalise: float, suppo
     return known.select("entity", "term", F.round(share, 9).alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
-def find_copies(docs: DataFrame) -> DataFrame:
-    """(text_key, copies): in how many documents each text with findings stands."""
-    return find_base(docs).where("text_key is not null").groupBy("text_key").agg(F.count("*").alias("copies"))
+def disclosing_terms(docs: DataFrame, generalise: float = 0.8, support: int = 3) -> DataFrame:
+    """(term, disclosure): each disclosing term with the highest of its disclosures."""
+    return stored(disclosing(docs, generalise, support).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing-terms")
+
+
+def occurrences(docs: DataFrame, marks) -> DataFrame:
+    """(text_key, term, spans): where each term that ``marks`` lets pass stands in each text, outside base findings."""
+
+    def make():
+        passing = Passing(marks.value)
+
+        def step(b):
+            out: dict[str, list] = {"text_key": [], "term": [], "spans": []}
+            for t in b["text"]:
+                if all(passing[w] is None for w in set(_TERM.findall(t))):
+                    continue
+                inside, found, k = _union(base_spans(t)), {}, 0
+                for m in _TERM.finditer(t):
+                    x, y = m.span()
+                    while k < len(inside) and inside[k][1] <= x:
+                        k += 1
+                    if (n := passing[m.group()]) is not None and (k == len(inside) or y <= inside[k][0]):
+                        found.setdefault(n, []).append({"start": x, "end": y})
+                out["text_key"] += [text_key(t)] * len(found)
+                out["term"] += found.keys()
+                out["spans"] += found.values()
+            return out
+
+        return step
+
+    return map_batches(texts(docs), make, "text_key binary, term long, spans array<struct<start: int, end: int>>")
+
+
+def _union(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The stretches that spans cover, by start."""
+    out: list[tuple[int, int]] = []
+    for a, e in sorted((a, e) for _, a, e in spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((a, e))
+    return out
 
 
-def term_spans(docs: DataFrame, words: int = 8, generalise: float = 0.8, remove: float = 0.95, support: int = 3) -> DataFrame:
-    """(text_key, terms): the spans that the method adds to each text, with what is done to them, by start."""
-    occurrences = stored(neighbours(docs, words), "term-occurrences")
-    pairs = disclosing(docs, occurrences, generalise, support)
-    hits = occurrences.where("term is not null").join(pairs, ["entity", "term"])
-    spans = hits.groupBy("text_key", "start", "end").agg(F.max("disclosure").alias("d"))
-    span = F.struct("start", "end", F.when(F.col("d") >= remove, "remove").otherwise("generalise").alias("action"))
-    return spans.groupBy("text_key").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+def term_spans(docs: DataFrame, terms: DataFrame, marks, remove: float = 0.95) -> DataFrame:
+    """(text_key, terms): every occurrence of the disclosing ``terms`` in each text, with what is done to it, by start."""
+    # Copies of one text are combined before they are dealt by term.
+    held = occurrences(docs, marks).groupBy("text_key", "term").agg(F.first("spans").alias("spans"))
+    action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
+    span = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), action.alias("action")))
+    hits = held.join(terms, "term").select("text_key", span.alias("spans"))
+    return hits.groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("terms"))
 
 
-def find(docs: DataFrame, **how) -> DataFrame:
+def find(docs: DataFrame, remove: float = 0.95, **how) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_terms for every row of ``docs``.
 
     ``spans`` lists the base findings as kind:start:end by kind, then the added terms as term:start:end. A null text is empty
@@ -202,18 +275,21 @@ def find(docs: DataFrame, **how) -> DataFrame:
     ignored; an empty table gives an empty table.
     """
     base = find_base(docs)
-    added = base.join(term_spans(docs, **how), "text_key", "left")
+    found = disclosing_terms(docs, **how)
+    added = base.join(term_spans(docs, found, marks_of(found, "term"), remove), "text_key", "left")
     terms = F.transform(F.coalesce("terms", F.array()), lambda s: F.concat(F.lit("term:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
     parts = F.filter(F.concat(F.array("base"), terms), lambda s: s != "")
     return added.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), F.array_join(parts, ",").alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_terms"))
 
 
-def sanitise(docs: DataFrame, **how) -> DataFrame:
+def sanitise(docs: DataFrame, remove: float = 0.95, **how) -> DataFrame:
     """``docs`` with texts rewritten: findings become ``<email>``, ``<ip>``, ``<card>`` or ``<phone>``, generalised terms
     ``<term>``, removed terms go. All columns stay; a null text stays null; ``n_chars`` follows the text where there is one.
 
-    Only texts with findings are joined with the added spans; the rest pass by.
+    Only texts with findings or with a term that may disclose are joined with the added spans; the rest pass by.
     """
+    found = disclosing_terms(docs, **how)
+    marks = marks_of(found, "term")
 
     def rewrite(text: str, terms) -> str:
         spans = [(a, b, f"<{KINDS[k]}>") for k, a, b in base_spans(text)]
@@ -231,12 +307,13 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
 
     @F.pandas_udf("binary")
     def key(text):
-        return text.map(lambda t: text_key(t) if t and base_spans(t) else None)
+        passing = Passing(marks.value)
+        return text.map(lambda t: text_key(t) if t and (base_spans(t) or any(passing[w] is not None for w in set(_TERM.findall(t)))) else None)
 
     kept = [c for c in docs.columns]
     keyed = docs.withColumn("__key", key("text"))
-    added = term_spans(docs, **how).select(F.col("text_key").alias("__key"), F.col("terms").alias("__terms"))
-    found = keyed.where("__key is not null").join(added, "__key", "left").withColumn("text", rewritten("text", "__terms"))
+    added = term_spans(docs, found, marks, remove).select(F.col("text_key").alias("__key"), F.col("terms").alias("__terms"))
+    rewritten_rows = keyed.where("__key is not null").join(added, "__key", "left").withColumn("text", rewritten("text", "__terms"))
     if "n_chars" in kept:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return keyed.where("__key is null").select(kept).unionByName(found.select(kept))
+        rewritten_rows = rewritten_rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return keyed.where("__key is null").select(kept).unionByName(rewritten_rows.select(kept))
