@@ -1,7 +1,7 @@
 """Near duplicates of embeddings with a forest of random-projection trees.
 
 Each tree splits at the median of a random projection, again and again, and vectors close to a cut go to both sides. Trees are
-fitted on a bounded sample and every vector is sent to its leaves in all of them. Inside a leaf, vectors are compared in double
+fitted on a bounded sample, as many as its links need, and every vector is sent to its leaves in all of them. Inside a leaf, vectors are compared in double
 precision, block by block: a leaf of any size is cut into blocks and each pair of blocks is a group of its own. A pair that
 shares several leaves counts in the first one only, which each side can tell from the leaves the other carries. So links are
 counted without listing pairs, and each block hands on a spanning forest for the union.
@@ -18,29 +18,99 @@ from .components import connected
 
 SAMPLE = 60_000  # vectors on which the trees are fitted
 BLOCK = 1024  # vectors of a block
+LOSE = 0.1  # share of a node's links that a cut may part
+TRIES = 4  # directions tried for a cut
+MOST = 40  # trees before all vectors are compared
 
 
 class Forest:
-    """Random-projection trees: per tree, nodes as (direction, cut) or a leaf number."""
+    """Random-projection trees: per tree, nodes as (direction, cut) or a leaf number.
 
-    def __init__(self, x: np.ndarray, total: int, trees: int, leaf: int, spill: float, seed: int = 3):
+    A cut that parts more than ``LOSE`` of a node's links is not made, so a loose cluster stays one leaf of any size. Trees
+    are added to the first ``trees`` until the links of the sample are found with ``recall``; if ``MOST`` do not reach it,
+    one leaf holds everything and all vectors are compared.
+    """
+
+    def __init__(self, x: np.ndarray, total: int, trees: int, leaf: int, spill: float, threshold: float = 0.9, recall: float = 0.99, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.spill, self.trees = spill, []
+        self.spill, self.threshold, self.trees = spill, threshold, []
         # A leaf of the sample stands for more vectors of the table.
         self.least = max(8, int(leaf * len(x) / max(total, 1)))
-        for _ in range(trees):
+        pairs = self._links(x, total, rng)
+        while len(self.trees) < trees or self._recall(*pairs) < recall:
+            if len(self.trees) >= max(trees, MOST):
+                self.trees = [1]
+                break
             self.trees.append(self._grow(x, rng, [0]))
 
+    def _links(self, x, total, rng, most: int = 200):
+        """Two arrays of linked vectors and the query of each: up to ``most`` links of up to 2000 vectors of the sample.
+
+        If the table is larger than the sample, small groups are hardly in it together; pairs just at the threshold stand for them.
+        """
+        a, b, of = [], [], []
+        queries = rng.permutation(len(x))[:2000]
+        for k in range(0, len(queries), 64):
+            near = x[queries[k : k + 64]] @ x.T >= self.threshold
+            for q, row in zip(queries[k : k + 64].tolist(), near):
+                row[q] = False
+                own = np.flatnonzero(row)
+                own = rng.choice(own, most, replace=False) if len(own) > most else own
+                a.append(x[[q] * len(own)])
+                b.append(x[own])
+                of += [q] * len(own)
+        if total > len(x) and x.shape[1] > 1:
+            v = x[queries]
+            side = rng.normal(size=v.shape)
+            side -= (side * v).sum(1, keepdims=True) * v
+            side /= np.linalg.norm(side, axis=1, keepdims=True)
+            a.append(v)
+            b.append(self.threshold * v + np.sqrt(max(0.0, 1 - self.threshold**2)) * side)
+            of += (len(x) + queries).tolist()
+        return (np.concatenate(a), np.concatenate(b), np.array(of)) if of else (None, None, None)
+
+    def _recall(self, a, b, of) -> float:
+        """The least of the share of links found and the mean share by query, of the sample's own links and of the planted ones."""
+        if a is None:
+            return 1.0
+        if not self.trees:
+            return 0.0
+        # Only the latest tree is new.
+        at, found = len(self.trees), getattr(self, "_found", (0, np.zeros(len(of), bool)))
+        for t in range(found[0], at):
+            left, right = Forest._of(self.trees[t], self.spill).leaves(a), Forest._of(self.trees[t], self.spill).leaves(b)
+            found[1][:] |= [not set(m[0]).isdisjoint(n[0]) for m, n in zip(left, right)]
+        self._found = (at, found[1])
+        _, first, n = np.unique(of, return_inverse=True, return_counts=True)
+        shares = np.bincount(first, found[1]) / n
+        single = n == 1
+        least = [float(found[1].mean()), float(shares.mean())]
+        return min(least + ([float(shares[single].mean())] if single.any() and single.sum() >= 100 else []))
+
+    @classmethod
+    def _of(cls, tree, spill: float) -> Forest:
+        one = cls.__new__(cls)
+        one.trees, one.spill = [tree], spill
+        return one
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_found"}
+
     def _grow(self, x, rng, leaves, depth: int = 0):
         if len(x) > self.least and depth < 40:
-            direction = rng.normal(size=x.shape[1])
-            direction /= np.linalg.norm(direction)
-            p = x @ direction
-            cut = float(np.median(p))
-            left, right = p < cut + self.spill, p >= cut - self.spill
-            # A split that sends nearly everything both ways cannot part this node.
-            if max(left.sum(), right.sum()) < 0.95 * len(x):
-                return direction, cut, self._grow(x[left], rng, leaves, depth + 1), self._grow(x[right], rng, leaves, depth + 1)
+            some = rng.choice(len(x), min(len(x), 64), replace=False)
+            linked = x[some] @ x.T >= self.threshold
+            linked[np.arange(len(some)), some] = False
+            for _ in range(TRIES):
+                direction = rng.normal(size=x.shape[1])
+                direction /= np.linalg.norm(direction)
+                p = x @ direction
+                cut = float(np.median(p))
+                left, right = p < cut + self.spill, p >= cut - self.spill
+                parted = ~(left[some][:, None] & left) & ~(right[some][:, None] & right)
+                # A split that sends nearly everything both ways cannot part this node.
+                if max(left.sum(), right.sum()) < 0.95 * len(x) and (linked & parted).sum() <= LOSE * linked.sum():
+                    return direction, cut, self._grow(x[left], rng, leaves, depth + 1), self._grow(x[right], rng, leaves, depth + 1)
         leaves[0] += 1
         return leaves[0]
 
@@ -184,7 +254,7 @@ def dedup(embeddings: DataFrame, threshold: float = 0.9, trees: int = 6, leaf: i
     total = classes.count()
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").collect()
     x = np.array([np.frombuffer(r[0], "<f8") for r in sample]).reshape(-1, width)
-    forest = shared(spark, Forest(x, total, trees, leaf, spill))
+    forest = shared(spark, Forest(x, total, trees, leaf, spill, threshold))
 
     def send():
         def step(b):
