@@ -23,9 +23,9 @@ def rows(spark, sf_dir):
     return D.subjects(spark, sf_dir).drop("cents")
 
 
-def _evaluate(spark, sf_dir, models: dict, folds: int = 2, threshold="train"):
-    f = D.folds(spark, sf_dir, folds, 1)
-    led = H.evaluate(models, rows(spark, sf_dir), "cardio", f, threshold, {"folds": folds, "repeats": 1, "source": "orders", "seed": S.BASE_SEED}, shared_k=8)
+def _evaluate(spark, sf_dir, models: dict, folds: int = 5, repeats: int = 5, threshold="train"):
+    f = D.folds(spark, sf_dir, folds, repeats)
+    led = H.evaluate(models, rows(spark, sf_dir), "cardio", f, threshold, {"folds": folds, "repeats": repeats, "source": "orders", "seed": S.BASE_SEED}, shared_k=8)
     return led
 
 
@@ -33,23 +33,23 @@ def _evaluate(spark, sf_dir, models: dict, folds: int = 2, threshold="train"):
 def model_logreg(spark, sf_dir):
     """Group-safe folds: copies of a feature tuple never lie on both sides."""
     df = rows(spark, sf_dir)
-    f = P.repeated_group_folds(df.withColumn("group_id", P.feature_group()), "cardio", "group_id", 3, 1)
-    return H.evaluate({"logreg": MD.build("logreg")}, df, "cardio", f, "train", {"folds": 3, "repeats": 1}, shared_k=8)
+    f = P.repeated_group_folds(df.withColumn("group_id", P.feature_group()), "cardio", "group_id", 5, 5)
+    return H.evaluate({"logreg": MD.build("logreg")}, df, "cardio", f, "train", {"folds": 5, "repeats": 5}, shared_k=8)
 
 
 @register("model_trees")
 def model_trees(spark, sf_dir):
-    return _evaluate(spark, sf_dir, {"rf": MD.build("rf", trees=20), "xgboost": MD.build("xgboost", trees=10)})
+    return _evaluate(spark, sf_dir, {"rf": MD.build("rf"), "xgboost": MD.build("xgboost")})
 
 
 @register("model_svm_rbf")
 def model_svm_rbf(spark, sf_dir):
-    return _evaluate(spark, sf_dir, {"svm_rbf": MD.build("svm_rbf", landmarks=64)})
+    return _evaluate(spark, sf_dir, {"svm_rbf": MD.build("svm_rbf")})
 
 
 @register("model_mlp")
 def model_mlp(spark, sf_dir):
-    return _evaluate(spark, sf_dir, {"mlp": MD.build("mlp", iterations=30)}, threshold=0.5)
+    return _evaluate(spark, sf_dir, {"mlp": MD.build("mlp")})
 
 
 @register("model_controls")
@@ -91,7 +91,7 @@ def model_pca(spark, sf_dir):
 def model_importance_top(spark, sf_dir):
     """Sixteen strongest of the 32 hybrid columns by tree importance, on the training side of a holdout."""
     df = P.holdout(rows(spark, sf_dir), "cardio").where(~F.col("is_test")).drop("is_test")
-    fitted = MD.hybrid(trees=10).fit(df)
+    fitted = MD.hybrid().fit(df)
     imp = fitted.stages[-1].featureImportances.toArray().tolist()
     names = MD.hybrid_columns()
     t = spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], "feature string, value double")
@@ -122,12 +122,12 @@ def score_batch_labels(spark, sf_dir):
 
 @register("score_batch")
 def score_batch(spark, sf_dir):
-    """Fit, save, load the first usable bundle, score all acceptable requests."""
+    """Fit, save, load the first usable bundle, score all acceptable requests; the others follow with their reasons."""
     path = new_path(spark, "bundle")
-    SC.save_bundle(MD.hybrid(trees=10).fit(rows(spark, sf_dir)), path)
+    SC.save_bundle(MD.hybrid().fit(rows(spark, sf_dir)), path)
     model = SC.load_bundle([path + "-missing", path])
-    scored, _ = SC.score(requests(spark, sf_dir), model)
-    return scored
+    scored, rejected = SC.score(requests(spark, sf_dir), model)
+    return scored.unionByName(rejected, allowMissingColumns=True)
 
 
 @register(
@@ -171,10 +171,10 @@ def experiment_spike(spark, sf_dir):
     return out.select(S.ID, "fold", r6(F.col("bmi")).alias("bmi"))
 
 
-def _arms(spark, sf_dir):
+def _arms(spark, sf_dir, base=("age_years", "ap_hi", "ap_lo", "bmi")):
     from ..plans.stages import ChainProducts
 
-    base = ["age_years", "ap_hi", "ap_lo", "bmi"]
+    base = list(base)
     df = C.add_clinical(D.subjects(spark, sf_dir))
     med = {r["column"]: r["p50"] for r in _medians(df, base, D.row_bound(spark, sf_dir))}
     full = df.select(S.ID, *[F.coalesce(F.col(c), F.lit(med[c])).alias(c) for c in base])
@@ -192,30 +192,33 @@ def _medians(df, columns, bound):
 
 @register("experiment_arm_grid")
 def experiment_arm_grid(spark, sf_dir):
-    """Raw angles, chain products and both, two label regimes of the whole table, shared folds, one draw each."""
+    """Raw angles, chain products and both, three label regimes of the whole table, shared folds, four draws each."""
     df, xs, cs = _arms(spark, sf_dir)
     bound = D.row_bound(spark, sf_dir)
     tables = {}
-    for kind in ("linear", "pairwise"):
-        labelled = E.label_by_median(df.withColumn("signal", E.latent(kind, xs)), "signal", 0.35, 0, bound)
-        tables[(kind, 0)] = labelled.drop("signal")
+    for kind in ("linear", "pairwise", "mixed"):
+        signal = df.withColumn("signal", E.latent(kind, xs))
+        for draw in range(4):
+            tables[(kind, draw)] = E.label_by_median(signal, "signal", 0.35, draw, bound).drop("signal")
     f = E_folds(spark, sf_dir)
     return E.arm_grid(tables, {"raw": xs, "products": cs, "raw+products": [*xs, *cs]}, f)
 
 
-def E_folds(spark, sf_dir, k: int = 2):
+def E_folds(spark, sf_dir, k: int = 5):
     return P.interleaved_folds(D.subjects(spark, sf_dir).select(S.ID), k).withColumn("rep", F.lit(0))
 
 
 @register("experiment_block_ablation")
 def experiment_block_ablation(spark, sf_dir):
-    """Singles, pairs and triples of the chain products, cumulative after the raw columns."""
-    df, xs, cs = _arms(spark, sf_dir)
+    """Singles, pairs and triples of the chain products, cumulative after the raw columns and each alone (no increment)."""
+    df, xs, cs = _arms(spark, sf_dir, ("age_years", "height", "weight", "ap_hi", "ap_lo", "bmi", "pulse_pressure", "map"))
     labelled = df.join(D.subjects(spark, sf_dir).select(S.ID, F.col("cardio").alias("label")), S.ID)
     n = len(xs)
     blocks = {"raw": xs, "raw+singles": xs + cs[:n], "raw+pairs": xs + cs[: 2 * n], "raw+triples": xs + cs}
-    grid = E.arm_grid({("cardio", 0): labelled}, blocks, E_folds(spark, sf_dir))
-    return E.contributions(grid, list(blocks), "raw", ["auc"])
+    alone = {"singles": cs[:n], "pairs": cs[n : 2 * n], "triples": cs[2 * n :]}
+    grid = stored(E.arm_grid({("cardio", 0): labelled}, blocks | alone, E_folds(spark, sf_dir)), "block-ablation")
+    single = E.contributions(grid, ["raw", *alone], "raw", ["auc"]).where(F.col("arm") != "raw").withColumn("increment", F.lit(None).cast("double"))
+    return E.contributions(grid, list(blocks), "raw", ["auc"]).unionByName(single)
 
 
 NULL_SQL = LED + """
