@@ -1,14 +1,12 @@
-"""SentencePiece encoding and decoding as composition of weighted transducers.
+"""SentencePiece encoding and decoding.
 
-Three machines are compiled from a model file: the normaliser (white space to its sign, dummy prefix), the pieces (input
-letters to a piece, weight ``-score``) and the byte fallback (a letter outside every piece to its bytes). Each input is
-composed with them and the cheapest path over the tropical semiring is the encoding. A state is a position and the piece
-that reached it.
+A text is normalised by replacing spaces with their sign and adding the dummy prefix; models that ask for another normaliser
+are refused. A letter outside every piece falls back to its bytes. No transducers are built: unigram models take the cheapest
+path over positions, BPE models a backtracking search over positions and the piece that reached them.
 
 For unigram models the weights alone decide. A BPE model fixes its result by merge order, not by the sum of scores, so its
-pieces machine carries a bigram acceptor with weight 0 for pieces that may stand side by side (merging their joined text
-gives these two again) and infinity otherwise; a sequence of pieces is what merging gives exactly if all its neighbours are
-allowed, which leaves one path of finite weight per position. Acceptor entries are compiled when first met.
+search only lets pieces stand side by side if merging their joined text gives these two again; a sequence of pieces is what merging gives exactly if all its neighbours are
+allowed, which leaves one allowed path per position. Pairs are tested when first met.
 """
 
 from __future__ import annotations
