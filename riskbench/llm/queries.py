@@ -7,7 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, licenses, ngram_join, personal_data, quality, sentence_pieces, token_counts, toxicity
+from . import (
+    chat_format, decontaminate, embedding_dedup, fill_in_middle, licenses, mixing, ngram_join, personal_data, quality, sentence_pieces, target_resampling,
+    token_counts, toxicity,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +157,66 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_embedding_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
+MIX_SQL = f"""
+WITH words AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size
+  FROM documents),
+rows AS (SELECT doc_id, source, size, md5(concat_ws(':', '{mixing.SEED}', CAST(doc_id AS VARCHAR), md5(text))) AS tie FROM words),
+total AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
+turns AS (SELECT *, [{", ".join(map(str, mixing.WEIGHTS))}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)}] AS weight FROM total),
+dealt AS (SELECT *, {mixing.MOST} * source_size AS stop FROM turns),
+levels AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * {mixing.PERCENT} / 100 - coalesce(sum(stop) OVER before, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM dealt WINDOW before AS (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+right_one AS (SELECT max(level) AS level FROM levels WHERE level * weight <= stop),
+targets AS (
+  SELECT source, source_size, least(CAST(stop AS DOUBLE), coalesce(right_one.level * weight, stop)) AS target FROM levels, right_one),
+units AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * {2**mixing.BITS} + 0.5) AS BIGINT) ELSE 0 END AS expected,
+         CAST('0x' || substr(md5(concat_ws(':', '{mixing.SEED}', 'offset', source)), 1, {mixing.BITS // 4}) AS BIGINT) AS shift
+  FROM targets),
+placed AS (
+  SELECT doc_id, size, source_size, target, expected,
+         shift + expected * row_number() OVER (PARTITION BY rows.source ORDER BY size, tie) AS upto
+  FROM rows JOIN units ON rows.source IS NOT DISTINCT FROM units.source)
+SELECT doc_id, size, source_size, target, (upto >> {mixing.BITS}) - ((upto - expected) >> {mixing.BITS}) AS copies,
+       ((upto >> {mixing.BITS}) - ((upto - expected) >> {mixing.BITS})) * size AS taken
+FROM placed"""
+
+
+@register("op11_mix_sources", MIX_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
+MIDDLE_SQL = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+units AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM h),
+cuts AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM units),
+formed AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                 WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM formed"""
+
+
+@register("op12_fill_in_middle", MIDDLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    digest = [F.sha2(c, 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (back, "restored_sha256"))]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
+
+
+@register("op13_target_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
