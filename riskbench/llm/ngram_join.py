@@ -13,6 +13,11 @@ is cut into fragments, and everything that meets across documents does so inside
 5. Stars first, then whatever candidate pairs still lie in different components and whose odd sketches do not rule a link
    out. Pairs inside a component are not compared, so
    a group of near copies costs about one comparison a document.
+6. A pair that shares no shingle of few within its prefixes consists of two sets whose frequent part alone reaches 75 percent
+   of each (``hot`` sets), and links by this part alone: iff ``175 * overlap >= 75 * (n + m)`` for the overlap of the frequent
+   parts. So hot sets with the same frequent part are one group. In it the smallest set, its anchor, links with all that link with
+   any; this needs no comparison. Between groups the frequent parts of anchors meet, and those of sets too large for their own anchor, one for
+   each size. A passage that a third of all documents share is one frequent part, however many they are.
 
 Between Python tasks a fragment travels as packed sorted arrays (differences, by byte plane, compressed).
 """
@@ -31,7 +36,7 @@ from .components import connected
 WIDTH, SHARE = 5, 75  # words of a shingle; percent of the union that must be shared
 MANY = 8  # documents from which a shingle is frequent
 MOST_FREQUENT = 1 << 20  # frequent shingles that are told apart by number; the rest stay in hash order, with the same result
-FLUSH = 1_500_000  # shingles that a task packs at a time
+FLUSH = 500_000  # shingles that a task packs at a time
 PER_FRAGMENT = 1_500_000
 SMALL = 100_000  # documents to verify up to which their ids are broadcast and the texts stay where they are
 HUBS = 3  # stars of frequent shingles that a set takes part in, in the first round and ``STAR_TURNS`` more, before all pairs left
@@ -67,38 +72,43 @@ def _fragments(docs: DataFrame, share: float) -> int:
 
 
 def _scan(docs: DataFrame, pack_docs, schema: str) -> DataFrame:
-    """Run ``pack_docs(ids, sets)`` over the documents of a task, some ``FLUSH`` shingles at a time."""
+    """Run ``pack_docs(ids, sets, schema)``, which gives Arrow batches, over the documents of a task, some ``FLUSH`` shingles at a time."""
     struct = T.StructType.fromDDL(schema)
 
     def run(batches):
-        import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds, hashes, ids, sets, held = to_arrow_schema(struct), WordHashes(), [], [], 0
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
         for batch in batches:
             for k in range(batch.num_rows):
                 ids.append(batch.column(0)[k].as_py())
                 sets.append(set_of(batch.column(1)[k].as_py(), hashes))
                 held += len(sets[-1])
                 if held >= FLUSH:
-                    rows = pack_docs(ids, sets)
-                    yield out()
+                    yield from pack_docs(ids, sets, kinds)
                     ids, sets, held = [], [], 0
-        if ids and (rows := pack_docs(ids, sets)):
-            yield out()
+        if ids:
+            yield from pack_docs(ids, sets, kinds)
 
     return docs.mapInArrow(run, struct)
 
 
+def _batch(kinds, size: int, /, **columns):
+    """An Arrow batch of ``size`` rows; columns that are not given are null."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(size, f.type) for f in kinds], schema=kinds)
+
+
 def frequent(docs: DataFrame) -> DataFrame:
     """(mark, n) of shingles of ``MANY`` documents or more, told apart by the upper 32 bits of their hash."""
     bits = int(np.log2(_fragments(docs, 1.0)))
 
-    def pack_docs(ids, sets):
+    def pack_docs(ids, sets, kinds):
         marks = np.sort(np.concatenate(sets) >> U64(32))
         edges = np.searchsorted(marks, np.arange((1 << bits) + 1, dtype=np.uint64) << U64(32 - bits))
-        return [(k, pack(marks[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+        held = np.flatnonzero(np.diff(edges))
+        yield _batch(kinds, len(held), fragment=held, blob=[pack(marks[edges[k] : edges[k + 1]]) for k in held])
 
     def count(pdf):
         import pandas as pd
@@ -137,23 +147,26 @@ class Order:
         place[np.lexsort((marks, n))] = np.arange(len(marks))
         self.marks, self.place = marks[by_mark], place[by_mark]
 
-    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def among(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes many documents hold, and where the marks of all would stand."""
+        if not len(self.marks):
+            return np.zeros(len(s), bool), np.zeros(len(s), np.int64)
+        marks = s >> U64(32)
+        at = np.minimum(np.searchsorted(self.marks, marks), len(self.marks) - 1)
+        return self.marks[at] == marks, at
+
+    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
         """Of the prefix for ``wanted``: the hashes that few documents hold, and how many of many it has. Of the prefix for
-        k = 1: the hashes that many hold, and their places in the order of this set."""
+        k = 1: the hashes that many hold, and their places in the order of this set. Then all hashes that many hold."""
         n = len(s)
         first = n - (SHARE * n + 99) // 100
         length = first + wanted(n)
-        many = np.zeros(n, bool)
-        if len(self.marks):
-            marks = s >> U64(32)
-            at = np.minimum(np.searchsorted(self.marks, marks), len(self.marks) - 1)
-            many = self.marks[at] == marks
+        many, at = self.among(s)
         few, hot = s[~many], s[many]
-        if len(hot):
-            hot = hot[np.lexsort((hot, self.place[at[many]]))]
+        ordered = hot[np.lexsort((hot, self.place[at[many]]))] if len(hot) else hot
         n_hot = min(len(hot), max(0, length - len(few)))
-        hot = hot[: max(0, first + 1 - len(few))]
-        return few[:length], hot, len(few) + np.arange(len(hot)), n_hot
+        ordered = ordered[: max(0, first + 1 - len(few))]
+        return few[:length], ordered, len(few) + np.arange(len(ordered)), n_hot, hot
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -161,42 +174,52 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, order) -> DataFrame:
-    """Rows of three kinds: documents (doc_id, set_key, code, n, and how many shingles of many the prefix has, as ``place``); packed prefixes of few (fragment, blob); entries of
+    """Rows of three kinds: documents (doc_id, set_key, code, n, and how many shingles of many the prefix has, as ``place``; hot
+    sets also the digest and size of their frequent part); packed prefixes of few (fragment, blob); entries of
     frequent shingles (shingle, code, n, place). ``code`` is the first half of the digest of the set."""
     bits = int(np.log2(_fragments(docs, 0.3)))
 
-    def pack_docs(ids, sets):
+    def pack_docs(ids, sets, kinds):
         found = order.value
-        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        digest = lambda s: hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+        keys = [digest(s) if len(s) else None for s in sets]
         codes = np.array([int.from_bytes(k[:8], "little") if k else 0 for k in keys], np.uint64)
         sizes = np.array([len(s) for s in sets], np.int64)
-        code = _signed(codes).tolist()
-        few, owners, seen, rows, counts = [], [], {}, [], []
+        few, owners, hots, places, hot_owners, seen = [], [], [], [], [], {}
         for d, s in enumerate(sets):
             if not len(s) or keys[d] in seen:  # copies within what a task packs are one set
-                counts.append(seen.get(keys[d], 0))
                 continue
-            cold, hot, places, n_hot = found.prefix(s)
-            seen[keys[d]] = n_hot
-            counts.append(n_hot)
+            cold, hot, at, n_hot, part = found.prefix(s)
+            seen[keys[d]] = n_hot, digest(part) if len(hot) else None, len(part) if len(hot) else None
             few.append(cold)
-            owners.append(np.full(len(cold), d))
-            rows += [("frequent", None, None, code[d], int(sizes[d]), None, None, h, p, None) for h, p in zip(_signed(hot).tolist(), places.tolist())]
-        rows += [("document", i, k, c, n, None, None, None, h, odd_sketch(s)) for i, k, c, n, h, s in zip(ids, keys, code, sizes.tolist(), counts, sets)]
-        if few:
-            few, owners = np.concatenate(few) >> U64(24), np.concatenate(owners)
-            by = np.argsort(few, kind="stable")
-            few, owners = few[by], owners[by]
-            edges = np.searchsorted(few, np.arange((1 << bits) + 1, dtype=np.uint64) << U64(40 - bits))
-            for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-                if b > a:
-                    docs_here, index = np.unique(owners[a:b], return_inverse=True)
-                    parts = [pack(few[a:b] - (U64(k) << U64(40 - bits))), index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()]
-                    parts += [codes[docs_here].astype("<u8").tobytes(), sizes[docs_here].astype("<u4").tobytes()]
-                    rows.append(("few", None, None, None, None, k, b"".join(len(p).to_bytes(4, "little") + p for p in parts), None, None, None))
-        return rows
-
-    schema = "kind string, doc_id long, set_key binary, code long, n long, fragment int, blob binary, shingle long, place int, sketch array<long>"
+            owners.append(np.full(len(cold), d, np.int32))
+            hots.append(hot)
+            places.append(at)
+            hot_owners.append(np.full(len(hot), d, np.int32))
+        counts, hot_keys, hot_sizes = zip(*(seen.get(k, (0, None, None)) for k in keys))
+        yield _batch(
+            kinds, len(ids), kind=["document"] * len(ids), doc_id=ids, set_key=keys, code=_signed(codes), n=sizes, place=counts,
+            sketch=[odd_sketch(s) for s in sets], hot_key=hot_keys, hot_n=hot_sizes,
+        )
+        if not few:
+            return
+        hots, by = np.concatenate(hots), np.concatenate(hot_owners)
+        if len(hots):
+            yield _batch(kinds, len(hots), kind=["frequent"] * len(hots), shingle=_signed(hots), code=_signed(codes[by]), n=sizes[by], place=np.concatenate(places).astype(np.int32))
+        few, owners = np.concatenate(few) >> U64(24), np.concatenate(owners)
+        by = np.argsort(few, kind="stable")
+        few, owners = few[by], owners[by]
+        edges = np.searchsorted(few, np.arange((1 << bits) + 1, dtype=np.uint64) << U64(40 - bits))
+        fragments, blobs = np.flatnonzero(np.diff(edges)), []
+        for k in fragments:
+            a, b = edges[k], edges[k + 1]
+            docs_here, index = np.unique(owners[a:b], return_inverse=True)
+            parts = [pack(few[a:b] - (U64(k) << U64(40 - bits))), index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()]
+            parts += [codes[docs_here].astype("<u8").tobytes(), sizes[docs_here].astype("<u4").tobytes()]
+            blobs.append(b"".join(len(p).to_bytes(4, "little") + p for p in parts))
+        yield _batch(kinds, len(blobs), kind=["few"] * len(blobs), fragment=fragments.astype(np.int32), blob=blobs)
+
+    schema = "kind string, doc_id long, set_key binary, code long, n long, fragment int, blob binary, shingle long, place int, sketch array<long>, hot_key binary, hot_n long"
     return _scan(docs, pack_docs, schema)
 
 
@@ -263,13 +286,14 @@ def pairs_of_few(pdf):
     return pd.concat([pairs, spill]) if len(spill) else pairs
 
 
-def candidates(sent: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(sent: DataFrame, standing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, star) by code from shingles of few that share enough, with the stars of frequent ones; and the entries of
-    frequent shingles."""
+    frequent shingles. Of hot sets only those in ``standing`` (by code) take part in the latter: they stand for others."""
     few = sent.where("kind = 'few'").select("fragment", "blob").groupBy("fragment")
     few = stored(few.applyInPandas(pairs_of_few, "a long, b long, star boolean, shared long, shingle long, code long, n long"), "ngram-pairs")
-    entries = sent.where("kind = 'frequent'").select("shingle", "code", "n", F.col("place").cast("long").alias("place"))
-    late = few.where("shingle is not null").select("shingle", "code", "n", F.lit(0).cast("long").alias("place"))
+    entries = sent.where("kind = 'frequent'").select("shingle", "code", "n", F.col("place").cast("long").alias("place"), F.lit(False).alias("late"))
+    entries = entries.join(standing.select("code"), "code", "left_semi").select("shingle", "code", "n", "place", "late")
+    late = few.where("shingle is not null").select("shingle", "code", "n", F.lit(0).cast("long").alias("place"), F.lit(True).alias("late"))
     # Shingles that no pair has counted: those of many in the prefix, and those found to be of many on the way.
     spared = sent.where("kind = 'document' and n > 0").groupBy("code").agg(F.max("place").alias("spared"), F.max("n").alias("n"))
     extra = late.groupBy("code").agg(F.count("*").alias("extra"))
@@ -311,17 +335,21 @@ def fitting(x: str, y: str):
     return 100 * F.least(F.col(x), F.col(y)) >= SHARE * F.greatest(F.col(x), F.col(y))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives whose sets overlap enough.
+def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, only=None) -> DataFrame:
+    """The pairs (a, b) of representatives whose sets overlap enough; with an ``Order`` as ``only``, whose frequent parts do.
 
-    A document is read for all its pairs at once: its set is cut into ``CUTS`` ranges of the order and goes to the first of
-    each pair; overlaps are counted range by range and summed.
+    A document is read for up to some hundred pairs at once: its set is cut into ``CUTS`` ranges of the order and goes to the
+    first of each pair; overlaps are counted range by range and summed.
     """
     # The first of many pairs gets several places, each for some of its partners.
     places = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).cast("int").alias("places"))
     members = pairs.join(places, "a").select(F.col("b").alias("rep"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "places").cast("int").alias("place"), F.lit(False).alias("is_hub"))
     hubs = places.select(F.col("a").alias("rep"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(True).alias("is_hub"))
-    want = members.unionByName(hubs).groupBy("rep").agg(F.collect_list(F.struct("hub", "place", "is_hub")).alias("to"))
+    # One of many partners is read several times, each time for some of them.
+    turns = members.groupBy("rep").agg(F.ceil(F.count("*") / 64).cast("int").alias("turns"))
+    members = members.join(turns, "rep").withColumn("turn", F.pmod(F.xxhash64("hub"), "turns").cast("int")).drop("turns")
+    every = members.unionByName(hubs.withColumn("turn", -1 - F.floor(F.col("place") / 64).cast("int")))
+    want = every.groupBy("rep", "turn").agg(F.collect_list(F.struct("hub", "place", "is_hub")).alias("to")).drop("turn")
     want = stored(want.join(classes.select("rep", "set_key"), "rep"), "ngram-wanted")
     side = F.broadcast(want) if want.count() <= SMALL else want
     read = docs.join(side, docs["doc_id"] == side["rep"]).select("text", "rep", "set_key", "to")
@@ -339,13 +367,16 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 s = set_of(text, hashes)
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() != key:
                     continue  # another text under the same id
-                held += len(s) * len(to)
+                n = len(s)
+                s = s if only is None else s[only.value.among(s)[0]]
                 edges = np.searchsorted(s, np.arange(1, CUTS, dtype=np.uint64) << U64(62))
-                for c, part in enumerate(np.split(_signed(s), edges)):
-                    rows += [(t["hub"], t["place"], c, rep, t["is_hub"], len(s), part) for t in to]
-                if held > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
-                    rows, held = [], 0
+                parts = np.split(_signed(s), edges)
+                for t in to:
+                    rows += [(t["hub"], t["place"], c, rep, t["is_hub"], n, part) for c, part in enumerate(parts)]
+                    held += len(s)
+                    if held > FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
+                        rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
 
@@ -360,6 +391,55 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return summed.where(100 * F.col("o") >= SHARE * (F.col("n") + F.col("m") - F.col("o"))).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
 
 
+def hot_groups(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hot sets by their frequent part: (rep, anchor, linked, standing) of each set but the anchors, and (code, rep, hot_n, low, alone)
+    of those that stand for others.
+
+    The anchor is the smallest set of a group. A set either links with it by the frequent part alone, or is too large for
+    any in the group; then the first of its size in the group stands for all of that size, and ``low`` is the anchor's size, below which partners must
+    lie. ``alone`` tells that a set stands for itself only.
+    """
+    hot = classes.where("hot_key is not null").select("hot_key", "hot_n", "n", "rep", "code")
+    anchors = hot.groupBy("hot_key").agg(F.min(F.struct("n", "rep", "code", "hot_n")).alias("anchor"))
+    joined = hot.join(anchors, "hot_key").where("rep != anchor.rep")
+    joined = joined.withColumn("linked", (100 + SHARE) * F.col("hot_n") >= SHARE * (F.col("n") + F.col("anchor.n")))
+    sizes = joined.where("not linked").groupBy("hot_key", "n").agg(F.min(F.struct("rep", "code", "hot_n")).alias("first"), F.min("anchor.n").alias("low"), F.count("*").alias("sets"))
+    grouped = joined.join(sizes.select("hot_key", "n", F.col("first.rep").alias("standing")), ["hot_key", "n"], "left")
+    grouped = stored(grouped.select("rep", F.col("anchor.rep").alias("anchor"), "linked", "standing"), "ngram-groups")
+    first = anchors.select("anchor.code", "anchor.rep", "anchor.hot_n", F.lit(None).cast("long").alias("low"), F.lit(True).alias("alone"))
+    loose = sizes.select("first.code", "first.rep", "first.hot_n", "low", (F.col("sets") == 1).alias("alone"))
+    return grouped, stored(first.unionByName(loose), "ngram-standing")
+
+
+def apart(at: DataFrame) -> DataFrame:
+    """Entries of shingles that bring different components together."""
+    several = at.groupBy("shingle").agg(F.min("component").alias("low_component"), F.max("component").alias("high_component"))
+    return at.join(several.where("low_component != high_component").select("shingle"), "shingle")
+
+
+def pairs_left(at: DataFrame) -> DataFrame:
+    """Pairs of entries under one shingle that sizes, places and sketches allow to link, in either order."""
+    x, y = at.alias("x"), at.alias("y")
+    room = lambda s: F.col(f"{s}.n") - F.col(f"{s}.place")  # noqa: E731  shingles from here to the end of the order
+    return x.join(y, "shingle").where(
+        fitting("x.n", "y.n") & ((100 + SHARE) * F.least(room("x"), room("y")) >= SHARE * (F.col("x.n") + F.col("y.n"))) & close("x", "y")
+    )
+
+
+def parts_left(at: DataFrame, standing: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that stand for others, still in different components, whose frequent parts are large enough for a link.
+
+    ``a`` is an anchor; ``b`` is one too, or a set that only links with sets smaller than its own anchor. If such a set stands
+    for several, their components are not known here and it counts as apart from all.
+    """
+    own = F.when(F.col("alone"), F.col("component")).otherwise(-1 - F.col("rep"))
+    at = apart(at.join(standing.select("code", "hot_n", "low", "alone"), "code").withColumn("component", own))
+    first = F.col("y.low").isNull() & (F.col("x.rep") < F.col("y.rep"))
+    enough = (100 + SHARE) * F.least("x.hot_n", "y.hot_n") >= SHARE * (F.col("x.n") + F.col("y.n"))
+    met = pairs_left(at).where(F.col("x.low").isNull() & (F.col("x.component") != F.col("y.component")) & enough & (first | (F.col("x.n") < F.col("y.low"))))
+    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for every row of ``docs``.
 
@@ -371,11 +451,14 @@ def components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = texts(docs)
     top = frequent(docs).orderBy(F.desc("n"), "mark").limit(MOST_FREQUENT).toArrow()
-    sent = stored(prefixes(docs, shared(spark, Order(top))), "ngram-prefixes")
-    rows = stored(sent.where("kind = 'document'").select("doc_id", "set_key", "code", "n", "sketch"), "ngram-documents")
+    order = shared(spark, Order(top))
+    sent = stored(prefixes(docs, order), "ngram-prefixes")
+    rows = stored(sent.where("kind = 'document'").select("doc_id", "set_key", "code", "n", "sketch", "hot_key", "hot_n"), "ngram-documents")
     named = rows.where("doc_id is not null and n > 0")
-    classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("code").alias("code"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "ngram-classes")
-    pairs, entries = candidates(sent)
+    of_set = [F.first(c).alias(c) for c in ("code", "n", "sketch", "hot_key", "hot_n")]
+    classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *of_set), "ngram-classes")
+    grouped, standing = hot_groups(classes)
+    pairs, entries = candidates(sent, standing)
     of = lambda name: classes.select(F.col("code").alias(name), F.col("rep").alias(f"rep_{name}"), F.struct("n", "sketch").alias(f"of_{name}"))
     named_pairs = pairs.join(of("a"), "a").join(of("b"), "b").where((F.col("rep_a") != F.col("rep_b")) & close("of_a", "of_b"))
     known = stored(named_pairs.groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).agg(F.max("star").alias("star")), "ngram-candidates")
@@ -384,36 +467,34 @@ def components(docs: DataFrame) -> DataFrame:
     same = named.join(classes.select("set_key", "rep"), "set_key").where("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     repeated = named.groupBy("doc_id").agg(F.count_distinct("set_key").alias("k")).where("k > 1").select("doc_id")
     same = same.join(repeated, same["b"] == repeated["doc_id"], "left_semi").distinct()
+    linked = linked.unionByName(same).unionByName(grouped.where("linked").select(F.col("anchor").alias("a"), F.col("rep").alias("b")))
     tried, at = known.where("star").select("a", "b"), None
     for turn in range(STAR_TURNS + 1):
-        labels = stored(connected(linked.unionByName(same)), "ngram-labels")
+        labels = stored(connected(linked), "ngram-labels")
         member = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("code", "n", "rep", "sketch", F.coalesce("component", "rep").alias("component"))
-        at = entries.select("shingle", "code", "place").join(member, "code")
-        apart = at.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
-        at = at.join(apart, "shingle")
+        at = entries.select("shingle", "code", "place", "late").join(member, "code")
         if turn == STAR_TURNS:
             break
-        again = stored(stars_between(at, turn).join(tried, ["a", "b"], "left_anti"), "ngram-stars")
+        again = stored(stars_between(apart(at), turn).join(tried, ["a", "b"], "left_anti"), "ngram-stars")
         if again.isEmpty():
             break
         tried = tried.unionByName(again)
         linked = linked.unionByName(stored(verify(docs, again, classes), "ngram-links"))
     # What is left: candidate pairs whose sides are still apart.
-    x, y = at.alias("x"), at.alias("y")
-    room = lambda s: F.col(f"{s}.n") - F.col(f"{s}.place")  # noqa: E731  shingles from here to the end of the order
-    crossing = x.join(y, "shingle").where(
-        (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & fitting("x.n", "y.n")
-        & ((100 + SHARE) * F.least(room("x"), room("y")) >= SHARE * (F.col("x.n") + F.col("y.n")))
-        & close("x", "y")
-    )
+    crossing = pairs_left(apart(at.where("late"))).where("x.rep < y.rep and x.component != y.component")
     crossing = crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     label = lambda name: member.select(F.col("rep").alias(name), F.col("component").alias(f"c_{name}"))
     more = known.where("not star").select("a", "b").join(label("a"), "a").join(label("b"), "b").where("c_a != c_b").select("a", "b")
     left = stored(more.unionByName(crossing).distinct().join(tried, ["a", "b"], "left_anti"), "ngram-left")
-    final = labels
+    parts = stored(parts_left(at.where("not late"), standing), "ngram-parts-left")
     if not left.isEmpty():
-        added = verify(docs, left, classes)
-        final = stored(connected(linked.unionByName(same).unionByName(added)), "ngram-labels")
+        linked = linked.unionByName(stored(verify(docs, left, classes), "ngram-links"))
+    if not parts.isEmpty():
+        met = stored(verify(docs, parts, classes, order), "ngram-links")
+        # A set that stands for others of its size speaks for them all: their frequent part and size are the same.
+        others = grouped.where("not linked").select(F.col("standing").alias("b"), "rep")
+        linked = linked.unionByName(met).unionByName(met.groupBy("b").agg(F.min("a").alias("a")).join(others, "b").select("a", F.col("rep").alias("b")))
+    final = labels if left.isEmpty() and parts.isEmpty() else stored(connected(linked), "ngram-labels")
     by_set = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = rows.drop("sketch").join(by_set, "set_key", "left")
+    out = rows.select("doc_id", "set_key", "n").join(by_set, "set_key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
