@@ -40,7 +40,7 @@ FLUSH = 500_000  # shingles that a task packs at a time
 PER_FRAGMENT = 1_500_000
 SMALL = 100_000  # documents to verify up to which their ids are broadcast and the texts stay where they are
 HUBS = 3  # stars of frequent shingles that a set takes part in, in the first round and ``STAR_TURNS`` more, before all pairs left
-STAR_TURNS = 2
+STAR_TURNS = 1
 CUTS = 4  # fragments of the order in which overlaps are counted
 
 
@@ -132,9 +132,17 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
 
 
 def close(x: str, y: str):
-    """Whether the sketches leave room for a link: linked sets differ in at most (100 - SHARE) / (100 + SHARE) of both sizes."""
+    """Whether sketches leave room for a link. ``p`` of the ``n`` shingles of a side are in its sketch, and these alone must
+    overlap enough: all of them, or the frequent part where a link by that is asked for."""
     differ = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(16)), F.lit(0))
-    return (100 + SHARE) * differ <= (100 - SHARE) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+    both = F.col(f"{x}.p") + F.col(f"{y}.p")
+    return (100 + SHARE) * (both - differ) >= 2 * SHARE * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def sketched(entries: DataFrame) -> DataFrame:
+    """Entries with the size ``p`` and sketch that count under their shingle: of the whole set where it is ``late``, else of the frequent part."""
+    p, sketch = (F.when(F.col("late"), F.col(c)).otherwise(F.col(h)) for c, h in (("n", "hot_n"), ("sketch", "hot_sketch")))
+    return entries.withColumns({"p": p, "sketch": sketch}).drop("hot_n", "hot_sketch")
 
 
 class Order:
@@ -175,7 +183,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 def prefixes(docs: DataFrame, order) -> DataFrame:
     """Rows of three kinds: documents (doc_id, set_key, code, n, and how many shingles of many the prefix has, as ``place``; hot
-    sets also the digest and size of their frequent part); packed prefixes of few (fragment, blob); entries of
+    sets also the digest, size and sketch of their frequent part); packed prefixes of few (fragment, blob); entries of
     frequent shingles (shingle, code, n, place). ``code`` is the first half of the digest of the set."""
     bits = int(np.log2(_fragments(docs, 0.3)))
 
@@ -190,16 +198,16 @@ def prefixes(docs: DataFrame, order) -> DataFrame:
             if not len(s) or keys[d] in seen:  # copies within what a task packs are one set
                 continue
             cold, hot, at, n_hot, part = found.prefix(s)
-            seen[keys[d]] = n_hot, digest(part) if len(hot) else None, len(part) if len(hot) else None
+            seen[keys[d]] = (n_hot, digest(part), len(part), odd_sketch(part)) if len(hot) else (n_hot, None, None, None)
             few.append(cold)
             owners.append(np.full(len(cold), d, np.int32))
             hots.append(hot)
             places.append(at)
             hot_owners.append(np.full(len(hot), d, np.int32))
-        counts, hot_keys, hot_sizes = zip(*(seen.get(k, (0, None, None)) for k in keys))
+        counts, hot_keys, hot_sizes, hot_sketches = zip(*(seen.get(k, (0, None, None, None)) for k in keys))
         yield _batch(
             kinds, len(ids), kind=["document"] * len(ids), doc_id=ids, set_key=keys, code=_signed(codes), n=sizes, place=counts,
-            sketch=[odd_sketch(s) for s in sets], hot_key=hot_keys, hot_n=hot_sizes,
+            sketch=[odd_sketch(s) for s in sets], hot_key=hot_keys, hot_n=hot_sizes, hot_sketch=hot_sketches,
         )
         if not few:
             return
@@ -219,7 +227,7 @@ def prefixes(docs: DataFrame, order) -> DataFrame:
             blobs.append(b"".join(len(p).to_bytes(4, "little") + p for p in parts))
         yield _batch(kinds, len(blobs), kind=["few"] * len(blobs), fragment=fragments.astype(np.int32), blob=blobs)
 
-    schema = "kind string, doc_id long, set_key binary, code long, n long, fragment int, blob binary, shingle long, place int, sketch array<long>, hot_key binary, hot_n long"
+    schema = "kind string, doc_id long, set_key binary, code long, n long, fragment int, blob binary, shingle long, place int, sketch array<long>, hot_key binary, hot_n long, hot_sketch array<long>"
     return _scan(docs, pack_docs, schema)
 
 
@@ -305,10 +313,13 @@ def candidates(sent: DataFrame, standing: DataFrame) -> tuple[DataFrame, DataFra
     enough = F.col("shared") + F.least("s_a", "s_b") >= k - 1
     summed = summed.join(of("a"), "a").join(of("b"), "b").where(enough).select("a", "b", "star")
     entries = stored(entries.unionByName(late).distinct(), "ngram-entries")
-    sketches = sent.where("kind = 'document' and n > 0").groupBy("code").agg(F.first("sketch").alias("sketch"))
-    banded = entries.join(sketches, "code").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / SHARE)) + 1e-9))
-    hubs = banded.groupBy("shingle", "band").agg(F.min(F.struct("code", "n", "sketch")).alias("hub"))
-    to_hub = banded.withColumn("own", F.struct("code", "n", "sketch")).join(hubs, ["shingle", "band"]).where((F.col("hub.code") != F.col("code")) & close("own", "hub"))
+    of_code = [F.first(c).alias(c) for c in ("sketch", "hot_n", "hot_sketch")]
+    sketches = sent.where("kind = 'document' and n > 0").groupBy("code").agg(*of_code)
+    banded = sketched(entries.join(sketches, "code").withColumn("cold", F.col("n") - F.coalesce("hot_n", F.lit(0)))).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / SHARE)) + 1e-9))
+    # The hub is the set with the fewest shingles of its own: likely the text that the others were made from.
+    banded = banded.withColumn("own", F.struct("cold", "code", "n", "p", "sketch"))
+    hubs = banded.groupBy("shingle", "band").agg(F.min("own").alias("hub"))
+    to_hub = banded.join(hubs, ["shingle", "band"]).where((F.col("hub.code") != F.col("code")) & close("own", "hub"))
     to_hub = to_hub.select(F.col("hub.code").alias("x"), F.col("code").alias("y"))
     # Stars only have to bring groups together, so each set keeps the hubs with which it shares most; pairs that stay apart
     # are all looked at later.
@@ -323,7 +334,7 @@ def candidates(sent: DataFrame, standing: DataFrame) -> tuple[DataFrame, DataFra
 def stars_between(at: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of sets in different components: each set with the hubs with which it shares most. Hubs change by turn."""
     banded = at.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / SHARE)) + 1e-9))
-    banded = banded.withColumn("own", F.struct("rep", "n", "sketch", "component"))
+    banded = banded.withColumn("own", F.struct("rep", "n", "p", "sketch", "component"))
     hubs = banded.groupBy("shingle", "band").agg(F.min_by("own", F.xxhash64("code", F.lit(turn))).alias("hub"))
     met = banded.join(hubs, ["shingle", "band"]).where((F.col("hub.component") != F.col("component")) & close("own", "hub"))
     met = met.groupBy("rep", F.col("hub.rep").alias("hub")).agg(F.count("*").alias("n")).groupBy("rep")
@@ -433,10 +444,9 @@ def parts_left(at: DataFrame, standing: DataFrame) -> DataFrame:
     for several, their components are not known here and it counts as apart from all.
     """
     own = F.when(F.col("alone"), F.col("component")).otherwise(-1 - F.col("rep"))
-    at = apart(at.join(standing.select("code", "hot_n", "low", "alone"), "code").withColumn("component", own))
+    at = apart(at.join(standing.select("code", "low", "alone"), "code").withColumn("component", own))
     first = F.col("y.low").isNull() & (F.col("x.rep") < F.col("y.rep"))
-    enough = (100 + SHARE) * F.least("x.hot_n", "y.hot_n") >= SHARE * (F.col("x.n") + F.col("y.n"))
-    met = pairs_left(at).where(F.col("x.low").isNull() & (F.col("x.component") != F.col("y.component")) & enough & (first | (F.col("x.n") < F.col("y.low"))))
+    met = pairs_left(at).where(F.col("x.low").isNull() & (F.col("x.component") != F.col("y.component")) & (first | (F.col("x.n") < F.col("y.low"))))
     return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
@@ -453,13 +463,13 @@ def components(docs: DataFrame) -> DataFrame:
     top = frequent(docs).orderBy(F.desc("n"), "mark").limit(MOST_FREQUENT).toArrow()
     order = shared(spark, Order(top))
     sent = stored(prefixes(docs, order), "ngram-prefixes")
-    rows = stored(sent.where("kind = 'document'").select("doc_id", "set_key", "code", "n", "sketch", "hot_key", "hot_n"), "ngram-documents")
+    rows = stored(sent.where("kind = 'document'").select("doc_id", "set_key", "code", "n", "sketch", "hot_key", "hot_n", "hot_sketch"), "ngram-documents")
     named = rows.where("doc_id is not null and n > 0")
-    of_set = [F.first(c).alias(c) for c in ("code", "n", "sketch", "hot_key", "hot_n")]
+    of_set = [F.first(c).alias(c) for c in ("code", "n", "sketch", "hot_key", "hot_n", "hot_sketch")]
     classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *of_set), "ngram-classes")
     grouped, standing = hot_groups(classes)
     pairs, entries = candidates(sent, standing)
-    of = lambda name: classes.select(F.col("code").alias(name), F.col("rep").alias(f"rep_{name}"), F.struct("n", "sketch").alias(f"of_{name}"))
+    of = lambda name: classes.select(F.col("code").alias(name), F.col("rep").alias(f"rep_{name}"), F.struct("n", F.col("n").alias("p"), "sketch").alias(f"of_{name}"))
     named_pairs = pairs.join(of("a"), "a").join(of("b"), "b").where((F.col("rep_a") != F.col("rep_b")) & close("of_a", "of_b"))
     known = stored(named_pairs.groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).agg(F.max("star").alias("star")), "ngram-candidates")
     linked = stored(verify(docs, known.where("star"), classes), "ngram-links")
@@ -470,9 +480,11 @@ def components(docs: DataFrame) -> DataFrame:
     linked = linked.unionByName(same).unionByName(grouped.where("linked").select(F.col("anchor").alias("a"), F.col("rep").alias("b")))
     tried, at = known.where("star").select("a", "b"), None
     for turn in range(STAR_TURNS + 1):
+        # What is known already comes as one edge a set.
         labels = stored(connected(linked), "ngram-labels")
-        member = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("code", "n", "rep", "sketch", F.coalesce("component", "rep").alias("component"))
-        at = entries.select("shingle", "code", "place", "late").join(member, "code")
+        linked = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        member = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("code", "n", "rep", "sketch", "hot_n", "hot_sketch", F.coalesce("component", "rep").alias("component"))
+        at = sketched(entries.select("shingle", "code", "place", "late").join(member, "code"))
         if turn == STAR_TURNS:
             break
         again = stored(stars_between(apart(at), turn).join(tried, ["a", "b"], "left_anti"), "ngram-stars")
