@@ -36,8 +36,8 @@ from .components import connected
 WIDTH, SHARE = 5, 75  # words of a shingle; percent of the union that must be shared
 MANY = 8  # documents from which a shingle is frequent
 MOST_FREQUENT = 1 << 20  # frequent shingles that are told apart by number; the rest stay in hash order, with the same result
-FLUSH = 500_000  # shingles that a task packs at a time
-PER_FRAGMENT = 1_500_000
+FLUSH = 1_000_000  # shingles that a task packs at a time
+PER_FRAGMENT = 1_000_000
 SMALL = 100_000  # documents to verify up to which their ids are broadcast and the texts stay where they are
 HUBS = 3  # stars of frequent shingles that a set takes part in, in the first round and ``STAR_TURNS`` more, before all pairs left
 STAR_TURNS = 1
