@@ -37,6 +37,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
             for k in range(0, batch.num_rows, rows):
                 out = step(batch.slice(k, rows).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kinds], schema=kinds)
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks
 
     return df.mapInArrow(run, struct)
 
@@ -49,7 +50,7 @@ def shared(spark: SparkSession, value):
 class WordHashes(dict):
     """64-bit hashes of words (bytes, or text as UTF-8), remembered up to ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

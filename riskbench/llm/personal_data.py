@@ -97,7 +97,7 @@ def find_base(docs: DataFrame) -> DataFrame:
 class Passing(dict):
     """Code of a word, or None if its low bits are not in ``marks``; remembers up to ``most`` words."""
 
-    def __init__(self, marks: bytes, most: int = 400_000):
+    def __init__(self, marks: bytes, most: int = 200_000):
         super().__init__()
         self.marks, self.most = marks, most
 

@@ -162,7 +162,7 @@ class Encoder:
 
     kept: dict[str, list[dict[str, bytes]]] = {}
 
-    def __init__(self, machines: Machines, name: str = "", most: int = 300_000):
+    def __init__(self, machines: Machines, name: str = "", most: int = 100_000):
         self.m, self.most = machines, most
         self.ages = Encoder.kept.setdefault(name, [{}, {}]) if name else [{}, {}]
 
