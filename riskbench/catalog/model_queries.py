@@ -9,7 +9,7 @@ from ..functions import clinical as C
 from ..functions.encoding import encode, feature_names, fixed_angles
 from ..functions.numbers import r6, r9
 from ..operators import fold_stats as FS, metrics as M, selection as SEL, splits as P
-from ..plans import experiments as E, harness as H, models as MD, scoring as SC
+from ..plans import experiments as E, harness as H, heads as HD, models as MD, scoring as SC
 from ..session import new_path, stored
 from ..sources import clinical_csv, driver_tables as D, result_files as RF
 from .base import CLINICAL, FOLDS, SCORES, SUBJECTS, ctes, folds_sql, ledger_sql, register
@@ -54,7 +54,10 @@ def model_mlp(spark, sf_dir):
 
 @register("model_controls")
 def model_controls(spark, sf_dir):
-    return _evaluate(spark, sf_dir, {"control_c": MD.build("control_c"), "product_control": MD.build("product_control")})
+    """Both controls over 5 x 5 folds: fifty heads that share every pass."""
+    f = D.folds(spark, sf_dir, 5, 5)
+    config = {"folds": 5, "repeats": 5, "source": "orders", "seed": S.BASE_SEED}
+    return HD.evaluate_heads(["control_c", "product_control"], rows(spark, sf_dir), "cardio", f, "train", config)
 
 
 @register(
@@ -193,15 +196,16 @@ def _medians(df, columns, bound):
 @register("experiment_arm_grid")
 def experiment_arm_grid(spark, sf_dir):
     """Raw angles, chain products and both, three label regimes of the whole table, shared folds, four draws each."""
+    df, labels, arms = _grid(spark, sf_dir)
+    return E.arm_grid(df, labels, arms, E_folds(spark, sf_dir))
+
+
+def _grid(spark, sf_dir):
     df, xs, cs = _arms(spark, sf_dir)
-    bound = D.row_bound(spark, sf_dir)
-    tables = {}
-    for kind in ("linear", "pairwise", "mixed"):
-        signal = df.withColumn("signal", E.latent(kind, xs))
-        for draw in range(4):
-            tables[(kind, draw)] = E.label_by_median(signal, "signal", 0.35, draw, bound).drop("signal")
-    f = E_folds(spark, sf_dir)
-    return E.arm_grid(tables, {"raw": xs, "products": cs, "raw+products": [*xs, *cs]}, f)
+    kinds = ("linear", "pairwise", "mixed")
+    signals = df.withColumns({f"signal_{kind}": E.latent(kind, xs) for kind in kinds})
+    df, labels = E.labels_by_median(signals, {(kind, draw): f"signal_{kind}" for kind in kinds for draw in range(4)}, 0.35, D.row_bound(spark, sf_dir))
+    return df, labels, {"raw": xs, "products": cs, "raw+products": [*xs, *cs]}
 
 
 def E_folds(spark, sf_dir, k: int = 5):
@@ -216,7 +220,7 @@ def experiment_block_ablation(spark, sf_dir):
     n = len(xs)
     blocks = {"raw": xs, "raw+singles": xs + cs[:n], "raw+pairs": xs + cs[: 2 * n], "raw+triples": xs + cs}
     alone = {"singles": cs[:n], "pairs": cs[n : 2 * n], "triples": cs[2 * n :]}
-    grid = stored(E.arm_grid({("cardio", 0): labelled}, blocks | alone, E_folds(spark, sf_dir)), "block-ablation")
+    grid = stored(E.arm_grid(labelled, {("cardio", 0): "label"}, blocks | alone, E_folds(spark, sf_dir)), "block-ablation")
     single = E.contributions(grid, ["raw", *alone], "raw", ["auc"]).where(F.col("arm") != "raw").withColumn("increment", F.lit(None).cast("double"))
     return E.contributions(grid, list(blocks), "raw", ["auc"]).unionByName(single)
 

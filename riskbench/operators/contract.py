@@ -119,7 +119,7 @@ def evaluation_input_checks(df: DataFrame, target: str, group: str | None = None
     t = F.col(target)
     per_id = df.groupBy(S.ID).agg(
         F.count("*").alias("_rows"),
-        sum_when(t.isNull() | not_finite(t)).alias("_target"),
+        sum_when(t.isNull() | ~t.isin(0, 1)).alias("_target"),
         sum_when(F.col(group).isNull() if group else F.lit(False)).alias("_group"),
         *[sum_when(not_finite(F.col(c))).alias(f"_f_{c}") for c in features],
     )

@@ -23,11 +23,11 @@ class SplitError(ValueError):
 
 
 def class_counts(df: DataFrame, target: str) -> dict[int, int]:
-    """Rows per class; exactly two classes are required."""
+    """Rows per class; the classes 0 and 1, and no others, are required."""
     rows = df.groupBy(target).count().limit(3).collect()
     counts = {r[target]: r["count"] for r in rows}
-    if len(counts) != 2 or None in counts:
-        raise SplitError(f"need exactly two classes, found {sorted(map(str, counts))}")
+    if set(counts) != {0, 1}:
+        raise SplitError(f"need exactly two classes, 0 and 1, found {sorted(map(str, counts))}")
     return counts
 
 

@@ -6,8 +6,8 @@ from conftest import SF
 from oracle import compare, connect
 from riskbench import catalog
 
-SLOW = {"model_logreg", "model_trees", "model_svm_rbf", "model_mlp", "model_controls", "model_importance_top",
-        "score_batch", "experiment_arm_grid", "experiment_block_ablation", "select_greedy", "select_support_mask"}
+SLOW = {"model_logreg", "model_trees", "model_svm_rbf", "model_mlp", "model_importance_top",
+        "score_batch", "select_greedy", "select_support_mask"}
 
 
 @pytest.fixture(scope="module")
