@@ -9,7 +9,7 @@ from ..functions import clinical as C
 from ..functions.encoding import encode, feature_names, fixed_angles
 from ..functions.numbers import r6, r9
 from ..operators import fold_stats as FS, metrics as M, selection as SEL, splits as P
-from ..plans import experiments as E, harness as H, heads as HD, models as MD, scoring as SC
+from ..plans import experiments as E, fold_trees as FT, harness as H, heads as HD, models as MD, scoring as SC
 from ..session import new_path, stored
 from ..sources import clinical_csv, driver_tables as D, result_files as RF
 from .base import CLINICAL, FOLDS, SCORES, SUBJECTS, ctes, folds_sql, ledger_sql, register
@@ -37,9 +37,20 @@ def model_logreg(spark, sf_dir):
     return H.evaluate({"logreg": MD.build("logreg")}, df, "cardio", f, "train", {"folds": 5, "repeats": 5}, shared_k=8)
 
 
+def _trees(spark, sf_dir, models: dict):
+    """A pass over the rows serves a level of the trees of all 5 x 5 training sets."""
+    config = {"folds": 5, "repeats": 5, "source": "orders", "seed": S.BASE_SEED}
+    return FT.evaluate_trees(models, rows(spark, sf_dir), "cardio", D.folds(spark, sf_dir, 5, 5), "train", config)
+
+
 @register("model_trees")
 def model_trees(spark, sf_dir):
-    return _evaluate(spark, sf_dir, {"rf": MD.build("rf"), "xgboost": MD.build("xgboost")})
+    return _trees(spark, sf_dir, {"rf": FT.Forest()})
+
+
+@register("model_boosted_trees")
+def model_boosted_trees(spark, sf_dir):
+    return _trees(spark, sf_dir, {"xgboost": FT.Boosting()})
 
 
 @register("model_svm_rbf")

@@ -7,7 +7,7 @@ from riskbench.catalog import model_queries as Q
 from riskbench.catalog.clinical_and_contract import requests
 
 
-@pytest.mark.parametrize("name", ["logreg", "trees", "svm_rbf", "mlp"])
+@pytest.mark.parametrize("name", ["logreg", "svm_rbf", "mlp"])
 def test_models_run_with_own_defaults_and_all_folds(spark, monkeypatch, name):
     settings, seen = [], []
     monkeypatch.setattr(Q.MD, "build", lambda name, **how: settings.append(how))
@@ -18,6 +18,16 @@ def test_models_run_with_own_defaults_and_all_folds(spark, monkeypatch, name):
     assert folds.select("rep", "fold").distinct().count() == 25
 
 
+def test_trees_run_with_own_defaults_and_all_folds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q.FT, "evaluate_trees", lambda models, df, target, folds, threshold, about: seen.append((models, folds, threshold, about)))
+    Q.model_trees(spark, SF)
+    Q.model_boosted_trees(spark, SF)
+    assert {n: (how.trees, how.depth) for models, *_ in seen for n, how in models.items()} == {"rf": (400, 6), "xgboost": (400, 3)}
+    for _, folds, threshold, about in seen:
+        assert threshold == "train" and (about["folds"], about["repeats"]) == (5, 5) and folds.select("rep", "fold").distinct().count() == 25
+
+
 def test_arm_grid_covers_all_regimes_draws_and_folds(spark):
     cells = {(r["regime"], r["draw"], r["fold"], r["arm"]): r["auc"] for r in Q.experiment_arm_grid(spark, SF).collect()}
     assert len(cells) == 3 * 4 * 5 * 3 and all(0.4 < v <= 1 for v in cells.values())

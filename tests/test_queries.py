@@ -6,7 +6,7 @@ from conftest import SF
 from oracle import compare, connect
 from riskbench import catalog
 
-SLOW = {"model_logreg", "model_trees", "model_svm_rbf", "model_mlp", "model_importance_top",
+SLOW = {"model_logreg", "model_trees", "model_boosted_trees", "model_svm_rbf", "model_mlp", "model_importance_top",
         "score_batch", "select_greedy", "select_support_mask"}
 
 
