@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import clinical as C
 from ..functions.numbers import r6
-from ..operators import crosses as X, fold_stats as FS, selection as SEL
+from ..operators import crosses as X, fold_stats as FS, selection as SEL, splits as P
 from ..session import stored
 from ..sources import driver_tables as D
 from .base import CLINICAL, SUBJECTS, ctes, folds_sql, register
 
-REPEATS = 2
+REPEATS = 5
 FEATURES = S.CANDIDATE_FEATURES
 _NUM = ["age_years", "bmi", "ap_hi", "ap_lo", "pulse_pressure"]
 
@@ -31,8 +31,7 @@ KEEP = "rep, fold, record_id, cardio"
 
 def folded(spark, sf_dir, repeats: int = REPEATS):
     """Clinical rows with their fold in each repeat."""
-    c = C.add_clinical(D.subjects(spark, sf_dir))
-    return c.join(D.folds(spark, sf_dir, 5, repeats).drop("cardio"), S.ID)
+    return P.with_stratified_folds(C.add_clinical(D.subjects(spark, sf_dir)), "cardio", 5, repeats)
 
 
 def folded_once(spark, sf_dir, columns):
@@ -137,7 +136,7 @@ def select_information(spark, sf_dir):
 
 @register(
     "select_spearman",
-    ctes(SUBJECTS, CLINICAL, folds_sql(5, 1), FOLDED, TRAIN, _long("long_train", "train", KEEP, FEATURES), MEDIANS, FILLED) + """
+    ctes(SUBJECTS, CLINICAL, folds_sql(5, REPEATS), FOLDED, TRAIN, _long("long_train", "train", KEEP, FEATURES), MEDIANS, FILLED) + """
     , r AS (SELECT rep, fold, record_id, feature, RANK() OVER (PARTITION BY rep, fold, feature ORDER BY value) + (COUNT(*) OVER (PARTITION BY rep, fold, feature, value) - 1) / 2.0::DOUBLE AS rk FROM filled)
     , o(feature, pos) AS (VALUES """ + ", ".join(f"('{f}', {i})" for i, f in enumerate(FEATURES)) + """)
     , rr AS (SELECT r.*, pos FROM r JOIN o USING (feature))
@@ -145,19 +144,19 @@ def select_information(spark, sf_dir):
     FROM rr x JOIN rr y ON x.rep = y.rep AND x.fold = y.fold AND x.record_id = y.record_id AND x.pos < y.pos GROUP BY ALL""",
 )
 def select_spearman(spark, sf_dir):
-    r = SEL.train_spearman(folded(spark, sf_dir, 1), FEATURES, "cardio", 5, D.row_bound(spark, sf_dir))
+    r = SEL.train_spearman(folded(spark, sf_dir), FEATURES, "cardio", 5, D.row_bound(spark, sf_dir))
     return r.withColumn("rho", r6(F.col("rho")))
 
 
 @register("select_greedy")
 def select_greedy(spark, sf_dir):
     """Selected features of each fold with their rationale."""
-    return SEL.rationale(SEL.select_features(folded(spark, sf_dir, 1), "cardio", 5, row_bound=D.row_bound(spark, sf_dir)))
+    return SEL.rationale(SEL.select_features(folded(spark, sf_dir), "cardio", 5, row_bound=D.row_bound(spark, sf_dir)))
 
 
 @register("select_support_mask")
 def select_support_mask(spark, sf_dir):
-    return SEL.support(SEL.select_features(folded(spark, sf_dir, 1), "cardio", 5, row_bound=D.row_bound(spark, sf_dir)))
+    return SEL.support(SEL.select_features(folded(spark, sf_dir), "cardio", 5, row_bound=D.row_bound(spark, sf_dir)))
 
 
 SCREEN = """

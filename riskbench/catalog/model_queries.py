@@ -73,20 +73,22 @@ def model_controls(spark, sf_dir):
 
 @register(
     "model_class_weights",
-    ctes(SUBJECTS, folds_sql(5, 1)) + """
-    , t AS (SELECT CAST(u.f AS INTEGER) AS fold, cardio FROM folds JOIN range(5) u(f) ON u.f <> fold)
-    SELECT fold, cardio, COUNT(*) AS n, round(SUM(COUNT(*)) OVER (PARTITION BY fold) / (2.0::DOUBLE * COUNT(*)), 6) AS weight FROM t GROUP BY fold, cardio""",
+    ctes(SUBJECTS, folds_sql(5, 5)) + """
+    , t AS (SELECT rep, CAST(u.f AS INTEGER) AS fold, cardio FROM folds JOIN range(5) u(f) ON u.f <> fold)
+    SELECT rep, fold, cardio, COUNT(*) AS n, round(SUM(COUNT(*)) OVER (PARTITION BY rep, fold) / (2.0::DOUBLE * COUNT(*)), 6) AS weight FROM t GROUP BY rep, fold, cardio""",
 )
 def model_class_weights(spark, sf_dir):
+    """The stage's weights, and the rows that get them, on each of the training sets."""
     from ..plans.stages import BalancedWeight
 
-    f = D.folds(spark, sf_dir, 5, 1)
+    f = stored(D.folds(spark, sf_dir, 5, 5), "class-folds")
     out = None
-    for fold in range(5):
-        train = f.where(F.col("fold") != fold)
-        w = BalancedWeight(target="cardio").fit(train).transform(train)
-        part = w.groupBy("cardio").agg(F.count("*").alias("n"), r6(F.max("weight")).alias("weight")).withColumn("fold", F.lit(fold))
-        out = part if out is None else out.unionByName(part)
+    for rep in range(5):
+        for fold in range(5):
+            train = f.where((F.col("rep") == rep) & (F.col("fold") != fold))
+            w = BalancedWeight(target="cardio").fit(train).transform(train)
+            part = w.groupBy("cardio").agg(F.count("*").alias("n"), r6(F.max("weight")).alias("weight")).withColumns({"rep": F.lit(rep), "fold": F.lit(fold)})
+            out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -174,15 +176,15 @@ _SP = ["bmi", "ap_hi"]
 
 @register(
     "experiment_spike",
-    ctes(SUBJECTS, CLINICAL, folds_sql(5, 1), FOLDED, TRAIN, _long("long_train", "train", KEEP, _SP)) + """
+    ctes(SUBJECTS, CLINICAL, folds_sql(5, 5), FOLDED, TRAIN, _long("long_train", "train", KEEP, _SP)) + """
     , st AS (SELECT rep, fold, AVG(value) FILTER (feature='bmi') AS mb, stddev_pop(value) FILTER (feature='bmi') AS sb,
                     AVG(value) FILTER (feature='ap_hi') AS ma, stddev_pop(value) FILTER (feature='ap_hi') AS sa FROM long_train GROUP BY rep, fold)
-    SELECT record_id, fold, round(sqrt(1 - 0.3::DOUBLE*0.3::DOUBLE) * (bmi - mb)/sb + 0.3::DOUBLE * (ap_hi - ma)/sa, 6) + 0.0 AS bmi FROM folded JOIN st USING (rep, fold)""",
+    SELECT record_id, rep, fold, round(sqrt(1 - 0.3::DOUBLE*0.3::DOUBLE) * (bmi - mb)/sb + 0.3::DOUBLE * (ap_hi - ma)/sa, 6) + 0.0 AS bmi FROM folded JOIN st USING (rep, fold)""",
 )
 def experiment_spike(spark, sf_dir):
-    df = folded(spark, sf_dir, 1)
+    df = folded(spark, sf_dir)
     out = E.spike(df, FS.train_moments(df, _SP, 5), "bmi", "ap_hi", 0.3)
-    return out.select(S.ID, "fold", r6(F.col("bmi")).alias("bmi"))
+    return out.select(S.ID, "rep", "fold", r6(F.col("bmi")).alias("bmi"))
 
 
 def _arms(spark, sf_dir, base=("age_years", "ap_hi", "ap_lo", "bmi")):

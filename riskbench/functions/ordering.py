@@ -136,17 +136,23 @@ def rank_by_draw(
     """
     groups = list(groups)
     slices = max(1, -(-largest_group // (rows_per_range or ROWS_PER_RANGE)))
+    if not groups:  # never the whole table on one task
+        slices = max(slices, _FAN)
     if slices == 1:
         return df.withColumn(out, F.row_number().over(W.partitionBy(*groups).orderBy(draw, tie)).cast("long"))
     lead = F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     ranged = df.withColumn("_range", F.floor(lead * slices).cast("int"))
     keys = groups + ["_range"]
-    before = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
+    counts = ranged.groupBy(*keys).agg(F.count("*").alias("_n"))
+    if groups:
+        before = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+        offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    else:
+        total, rows = 0, []
+        for r in sorted(tuple(r) for r in counts.collect()):  # one row per slice
+            rows.append((r[0], total))
+            total += r[1]
+        offsets = F.broadcast(df.sparkSession.createDataFrame(rows, "_range int, _before long"))
     local = W.partitionBy(*keys).orderBy(draw, tie)
     return (
         ranged.join(offsets, keys)

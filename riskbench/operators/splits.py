@@ -31,44 +31,103 @@ def class_counts(df: DataFrame, target: str) -> dict[int, int]:
     return counts
 
 
-def chunk_of(position: Column, n: Column, k: int) -> Column:
-    """0-based chunk of a 1-based position when n rows are cut into k chunks, the first ones taking the remainder."""
-    q, rem = F.floor(n / k), n % k
-    head = rem * (q + 1)
-    at = position - 1
-    return F.when(at < head, F.floor(at / (q + 1))).otherwise(
-        rem + F.floor((at - head) / F.greatest(q, F.lit(1)))
-    ).cast("int")
+_DIGITS = 3  # hexadecimal digits of a draw that one histogram tells apart
+MOST_BOUNDARY = 20_000  # rows that may share a bucket with a boundary when they are collected
 
 
-def _group_size(counts: dict[int, int], target: str) -> Column:
-    (a, na), (b, nb) = counts.items()
-    return F.when(F.col(target) == a, F.lit(na)).otherwise(F.lit(nb)).cast("long")
+def boundary_draws(df: DataFrame, target: str, draws: Sequence[Column], wanted) -> dict[tuple[int, int], list[tuple[str, int]]]:
+    """The exact (draw, record_id) at given positions of each class in the order of several draws, without sorting the rows.
 
+    ``wanted(n)`` lists 1-based positions in a class of ``n`` rows; the result is keyed by (class, number of the draw). A histogram of the leading
+    digits leaves one bucket per boundary; only the rows in these are counted by further digits, until few enough are left to
+    be collected. Each step is a scan with a map-side count; draws are uniform, so two or three steps do for any table.
+    """
+    rows = df.select(F.col(target).alias("_c"), F.col(S.ID).alias("_id"), F.posexplode(F.array(*draws)).alias("_at", "_draw"))
 
-def repeated_stratified_folds(df: DataFrame, target: str, k: int = 5, repeats: int = 5, seed: int = S.BASE_SEED) -> DataFrame:
-    """(record_id, target, rep, fold): per repeat and class, shuffle and cut into k chunks."""
+    def lead(digits: int) -> Column:
+        return F.substring("_draw", 1, digits)
+
+    def inside(keys: list[str], digits: int) -> DataFrame:
+        return rows.where(F.concat_ws("|", "_c", "_at", lead(digits)).isin(keys))
+
+    def histogram(part: DataFrame, digits: int) -> dict[tuple[int, int], list[tuple[str, int]]]:
+        t = part.groupBy("_c", "_at", lead(digits).alias("_lead")).count().toArrow()
+        out: dict = {}
+        for c, at, key, n in zip(*(t[x].to_pylist() for x in ("_c", "_at", "_lead", "count"))):
+            out.setdefault((c, at), []).append((key, n))
+        return {k: sorted(v) for k, v in out.items()}
+
+    digits = _DIGITS
+    seen = histogram(rows, digits)
+    counts = {c: sum(n for _, n in v) for (c, at), v in seen.items() if at == 0}
+    if set(counts) != {0, 1}:
+        raise SplitError(f"need exactly two classes, 0 and 1, found {sorted(map(str, counts))}")
+    # (class, draw, position) -> rows before the bucket, the bucket, rows in it
+    todo = {(c, at, q): (0, "", n) for c, n in counts.items() for at in range(len(draws)) for q in wanted(n)}
+    while True:
+        for (c, at, q), (before, bucket, _) in list(todo.items()):
+            for key, n in seen[(c, at)]:
+                if not key.startswith(bucket):
+                    continue
+                if before + n >= q:
+                    todo[(c, at, q)] = before, key, n
+                    break
+                before += n
+        keys = sorted({f"{c}|{at}|{bucket}" for (c, at, _), (_, bucket, _) in todo.items()})
+        size = sum({(c, at, bucket): n for (c, at, _), (_, bucket, n) in todo.items()}.values())
+        if size <= MOST_BOUNDARY or digits >= 16:
+            break
+        part, digits = inside(keys, digits), digits + _DIGITS
+        seen = histogram(part, digits)
+    found: dict[tuple, list] = {}
+    for r in inside(keys, digits).collect() if todo else ():
+        found.setdefault((r["_c"], r["_at"], r["_draw"][:digits]), []).append((r["_draw"], r["_id"]))
+    out: dict[tuple[int, int], list[tuple[str, int]]] = {(c, at): [] for c in counts for at in range(len(draws))}
+    for (c, at, q), (before, bucket, _) in sorted(todo.items()):
+        out[(c, at)].append(sorted(found[(c, at, bucket)])[q - before - 1])
+    return out
+
+
+def _beyond(draw: Column, cuts: Sequence[tuple[str, int]]) -> Column:
+    """How many of the cuts lie before a row."""
+    after = [((draw > d) | ((draw == d) & (F.col(S.ID) > i))).cast("int") for d, i in cuts]
+    return sum(after[1:], after[0]) if after else F.lit(0)
+
+
+def with_stratified_folds(df: DataFrame, target: str, k: int = 5, repeats: int = 5, seed: int = S.BASE_SEED) -> DataFrame:
+    """Every row of ``df`` once per repeat, with ``rep`` and ``fold``: per repeat and class, shuffle and cut into k chunks, the first ones
+    taking the remainder. Folds are a column expression; no row is sorted or shuffled."""
     if k < 2 or repeats < 1:
         raise SplitError("need k >= 2 and repeats >= 1")
-    counts = class_counts(df, target)
-    if min(counts.values()) < k:
-        raise SplitError(f"the smaller class has fewer than {k} rows")
-    reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")
-    rows = df.select(S.ID, target, reps).withColumn("_draw", O.draw_key(seed, "split", k, F.col("rep"), F.col(S.ID)))
-    ranked = O.rank_by_draw(rows, ["rep", target], "_draw", S.ID, max(counts.values()))
-    return ranked.select(S.ID, target, "rep", chunk_of(F.col("position"), _group_size(counts, target), k).alias("fold"))
+
+    def ends(n: int) -> list[int]:
+        if n < k:
+            raise SplitError(f"the smaller class has fewer than {k} rows")
+        return [(n // k) * (f + 1) + min(n % k, f + 1) for f in range(k - 1)]
+
+    draws = [O.draw_key(seed, "split", k, F.lit(rep), F.col(S.ID)) for rep in range(repeats)]
+    cuts = boundary_draws(df, target, draws, ends)
+    drawn = df.withColumns({f"_draw_{rep}": d for rep, d in enumerate(draws)})
+    fold = [F.when(F.col(target) == 1, _beyond(F.col(f"_draw_{rep}"), cuts[(1, rep)])).otherwise(_beyond(F.col(f"_draw_{rep}"), cuts[(0, rep)])) for rep in range(repeats)]
+    return drawn.select(*df.columns, F.posexplode(F.array(*fold)).alias("rep", "fold"))
+
+
+def repeated_stratified_folds(df: DataFrame, target: str, k: int = 5, repeats: int = 5, seed: int = S.BASE_SEED) -> DataFrame:
+    """(record_id, target, rep, fold) by ``with_stratified_folds``."""
+    return with_stratified_folds(df.select(S.ID, target), target, k, repeats, seed)
 
 
 def holdout(df: DataFrame, target: str, test_size: float = 0.2, seed: int = S.BASE_SEED) -> DataFrame:
     """Add boolean ``is_test``: per class, round-half-even(n * test_size) rows, at least 1 and at most n - 1."""
     if not 0.0 < test_size < 1.0:
         raise SplitError("test_size must be in (0, 1)")
-    counts = class_counts(df, target)
-    rows = df.withColumn("_draw", O.draw_key(seed, "holdout", test_size, F.col(S.ID)))
-    ranked = O.rank_by_draw(rows, [target], "_draw", S.ID, max(counts.values()), out="_position")
-    n = _group_size(counts, target)
-    quota = F.least(F.greatest(F.bround(n * F.lit(test_size)), F.lit(1)), n - 1)
-    return ranked.withColumn("is_test", F.col("_position") <= quota).drop("_draw", "_position")
+    draw = O.draw_key(seed, "holdout", test_size, F.col(S.ID))
+    cuts = boundary_draws(df, target, [draw], lambda n: [q for q in [min(max(round(n * test_size), 1), n - 1)] if q])
+    drawn = df.withColumn("_draw", draw)
+    side = F.when(F.col(target) == 1, _beyond(F.col("_draw"), cuts[(1, 0)])).otherwise(_beyond(F.col("_draw"), cuts[(0, 0)]))
+    # A class of one row has no cut: it stays out of the test side.
+    single = [c for (c, _), v in cuts.items() if not v]
+    return drawn.select(*df.columns, ((side == 0) & ~F.col(target).isin(single) if single else side == 0).alias("is_test"))
 
 
 def cohort_holdout(df: DataFrame, cohort: str, target: str, test_cohorts: Sequence[str]) -> DataFrame:

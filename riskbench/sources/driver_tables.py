@@ -94,9 +94,8 @@ def folds(spark: SparkSession, sf_dir: str, k: int = 5, repeats: int = 5) -> Dat
 
 def predictions(spark: SparkSession, sf_dir: str, k: int = 5, repeats: int = 5) -> DataFrame:
     """(model, rep, fold, record_id, y, p): two scored models and a constant-prevalence control."""
-    f = folds(spark, sf_dir, k, repeats)
-    joined = f.join(scores(spark, sf_dir).drop("cardio"), ID)
-    meta = P.fold_metadata(f, "cardio").select("rep", "fold", "train_prevalence")
+    joined = P.with_stratified_folds(scores(spark, sf_dir), "cardio", k, repeats, BASE_SEED)
+    meta = P.fold_metadata(joined.select(ID, "cardio", "rep", "fold"), "cardio").select("rep", "fold", "train_prevalence")
     wide = joined.join(F.broadcast(meta), ["rep", "fold"])  # rep x fold rows
     return wide.select(
         ID,

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
+from riskbench import schema as S
 from riskbench.operators import splits as P
 from riskbench.sources import driver_tables as D
 
@@ -109,3 +110,48 @@ def test_derived_seed(spark):
 
     want = int.from_bytes(hashlib.sha256(b"7|split|3").digest()[:4], "big")
     assert spark.range(1).select(P.derive_seed(7, "split", 3).alias("s")).first()["s"] == want
+
+
+def _by_sorting(rows, k, repeats):
+    """(record_id, rep) -> fold, by sorting each class in the order of its draws."""
+    import hashlib
+
+    out = {}
+    for rep in range(repeats):
+        for c in (0, 1):
+            key = lambda i: (hashlib.sha256(f"{S.BASE_SEED}|split|{k}|{rep}|{i}".encode()).hexdigest()[:16], i)  # noqa: E731, B023
+            ids = sorted((i for i, y in rows if y == c), key=key)
+            size, extra, at = len(ids) // k, len(ids) % k, 0
+            for f in range(k):
+                for i in ids[at : at + size + (f < extra)]:
+                    out[(i, rep)] = f
+                at += size + (f < extra)
+    return out
+
+
+@pytest.mark.parametrize("digits, most", [(3, 20_000), (1, 0), (2, 5), (3, 0)])
+def test_folds_by_boundaries_as_by_sorting(spark, monkeypatch, digits, most):
+    """However coarse the first histogram and however few rows may be collected, the folds are those of a full sort."""
+    monkeypatch.setattr(P, "_DIGITS", digits)
+    monkeypatch.setattr(P, "MOST_BOUNDARY", most)
+    rows = [(i * 7, int(i % 3 == 0)) for i in range(401)]
+    df = spark.createDataFrame([(i, y, f"x{i}") for i, y in rows], "record_id long, cardio int, other string").repartition(5)
+    got = P.with_stratified_folds(df, "cardio", 4, 3)
+    assert got.columns == ["record_id", "cardio", "other", "rep", "fold"]
+    assert "Exchange" not in got.select("record_id", "rep", "fold")._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
+    assert {(r["record_id"], r["rep"]): r["fold"] for r in got.collect()} == _by_sorting(rows, 4, 3)
+
+
+@pytest.mark.parametrize("share, sizes", [(0.2, (101, 50)), (0.5, (3, 2)), (0.01, (40, 1)), (0.99, (7, 5))])
+def test_holdout_by_boundaries(spark, share, sizes):
+    df = spark.createDataFrame([(i, 0) for i in range(sizes[0])] + [(1000 + i, 1) for i in range(sizes[1])], "record_id long, cardio int")
+    got = {r["cardio"]: (r["n"], r["t"]) for r in P.holdout(df, "cardio", share).groupBy("cardio").agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("int")).alias("t")).collect()}
+    for c, n in enumerate(sizes):
+        assert got[c] == (n, min(max(round(n * share), 1), n - 1))
+
+
+def test_refused_targets(spark):
+    for rows in ([(1, 0), (2, 2)], [(1, 1)], [(1, 0), (2, 1), (3, None)]):
+        df = spark.createDataFrame(rows, "record_id long, cardio int")
+        with pytest.raises(P.SplitError):
+            P.repeated_stratified_folds(df, "cardio", 2, 1)
