@@ -8,11 +8,15 @@ repeated with fresh bits until the wanted recall is reached, and each candidate
 Windows are as long as items of a size class. A document starts one every ``stride`` words; an item is entered from its first
 ``stride`` offsets and its last ones, so one of them lies on a window wherever a passage begins. All items sit on every task,
 ``CHUNK`` items at a time: larger benchmarks take more passes.
+
+Before the walks, an exact bound leaves out windows that cannot lie in a match: of an item's ``e + MARKED`` rarest distinct words,
+``e`` edits remove at most ``e``, so the words around a window must hold ``MARKED`` words that are among the rarest of some item.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -25,6 +29,8 @@ CHUNK = 20_000
 WORD = re.compile(r"\w+")
 FEWEST = 5  # items of fewer words are searched as they stand
 MOST_WALKS = 1000
+MARKED = 6  # rare words of an item that its edits must leave
+TABLE = 1 << 20  # places of a table of rare words, by low bits
 
 
 @dataclass
@@ -36,6 +42,18 @@ class Class:
     walks: list[tuple[int, list[int]]] = field(default_factory=list)
     known: list[list[np.ndarray]] = field(default_factory=list)  # per walk and number of samples: sorted hashes of item windows
     owners: list[np.ndarray] = field(default_factory=list)  # per walk: (item, offset) of each full hash, in its order
+    need: int = 0  # marked words around a window in a match, at least
+    before: int = 0  # words that a match may begin before a window in it
+    after: int = 0  # words that it may end behind the window's begin
+    marked: np.ndarray = field(default=None, repr=False)  # by low bits of a word: whether it may be marked
+
+    def possible(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Positions of the starts around which there are enough marked words for a match."""
+        if not self.need:
+            return np.arange(len(starts))
+        upto = np.concatenate([[0], np.cumsum(self.marked[flat & U64(TABLE - 1)], dtype=np.int64)])
+        here = upto[np.minimum(starts + self.after, len(flat))] - upto[np.maximum(starts - self.before, 0)]
+        return np.flatnonzero(here >= self.need)
 
 
 def walk(words: np.ndarray, starts: np.ndarray, seed: int, steps: list[int], known: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -44,12 +62,13 @@ def walk(words: np.ndarray, starts: np.ndarray, seed: int, steps: list[int], kno
     With ``known``, walks are left as soon as no item has their samples so far. Needs room behind the last start.
     """
     at, alive, hashes, j = starts.copy(), np.arange(len(starts)), np.zeros(len(starts), U64), 0
-    bits = None
+    bits, few = None, len(starts) * 8 < len(words)  # the bits of all words at once, or of those under few cursors
     for k, step in enumerate(steps):
         while j < step:
-            if bits is None or j % 64 == 0:
-                bits = mix(words ^ mix(np.array([seed * 1000 + j // 64], U64)))
-            at += (bits[at] >> U64(j % 64) & U64(1)).view(np.int64)
+            key = mix(np.array([seed * 1000 + j // 64], U64))
+            if not few and (bits is None or j % 64 == 0):
+                bits = mix(words ^ key)
+            at += ((mix(words[at] ^ key) if few else bits[at]) >> U64(j % 64) & U64(1)).view(np.int64)
             j += 1
         with np.errstate(over="ignore"):
             hashes = mix(hashes * U64(31) + words[at])
@@ -112,16 +131,34 @@ class Benchmark:
         self.lengths = sorted(set(map(len, self.short)))
         self.first_words = {x[0] for x in self.short}
         self.vocabulary = [set(w.tolist()) for _, w in self.items]
+        self.held = Counter(w for v in self.vocabulary for w in v)
         self.edits, self.classes = edits, []
         self.longest = max((len(w) for _, w in self.items), default=0)
         rng, low = np.random.default_rng(seed), FEWEST
         while low <= self.longest:
             high = max(low + 1, int(low * 1.4))
             members = [k for k, (_, w) in enumerate(self.items) if low <= len(w) < high]
-            if members:
-                self.classes.append(self._compile(low, members, design, recall, samples, rng))
+            # Items of few distinct words, which edits may all remove, are searched without a bound on rare words.
+            for part in ([k for k in members if self._spare(k) >= MARKED], [k for k in members if self._spare(k) < MARKED]):
+                if part:
+                    self.classes.append(self._compile(low, part, design, recall, samples, rng))
+                    self._mark(self.classes[-1], part, high)
             low = high
 
+    def _spare(self, k: int) -> int:
+        """Distinct words of an item beyond its edits."""
+        return len(self.vocabulary[k]) - int(self.edits * len(self.items[k][1]))
+
+    def _mark(self, c: Class, members: list[int], high: int) -> None:
+        """The rarest words of the items of a class, by the number of items that hold them."""
+        c.need = max(0, min(MARKED, *map(self._spare, members))) if len(members) > 1 else max(0, min(MARKED, self._spare(members[0])))
+        most = int(self.edits * high)
+        c.before, c.after = high - c.width + most + 1, high + most + 1
+        c.marked = np.zeros(TABLE, bool)
+        for k in members:
+            rarest = sorted(self.vocabulary[k], key=lambda w: (self.held[w], w))[: int(self.edits * len(self.items[k][1])) + c.need]
+            c.marked[np.array(rarest, U64) & U64(TABLE - 1)] = True
+
     def _compile(self, size: int, members: list[int], design: float, recall: float, samples: int, rng) -> Class:
         stride = max(1, size // 4)
         c = Class(size - stride + 1, stride)
@@ -176,6 +213,10 @@ class Benchmark:
             owner = np.repeat(np.arange(len(docs)), counts)
             nth = np.arange(len(owner)) - np.repeat(np.cumsum([0, *counts])[:-1], counts)
             starts = begins[owner] + nth * c.stride
+            possible = c.possible(flat, starts)
+            owner, starts = owner[possible], starts[possible]
+            if not len(starts):
+                continue
             for (seed, steps), known, owners in zip(c.walks, c.known, c.owners):
                 hashes, alive = walk(flat, starts, seed, steps, known)
                 if not len(hashes):
