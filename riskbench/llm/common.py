@@ -20,8 +20,19 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, rows: int = 256) -> DataFrame:
-    """Run ``make()`` once a task and what it returns on slices of ``rows`` rows.
+def tidy() -> None:
+    """Give freed memory back: the worker stays while other work fills the executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, rows: int = 256, letters: int | None = None) -> DataFrame:
+    """Run ``make()`` once a task and what it returns on slices of ``rows`` rows, or, with ``letters``, of as many rows as hold about that
+    many bytes of text.
 
     A slice comes as a dict of Python lists and leaves as a dict of columns (lists or arrays) of ``schema``. Texts stay in
     Arrow until their slice is reached, so memory holds one Arrow batch and one slice.
@@ -30,14 +41,20 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds, step = to_arrow_schema(struct), make()
         for batch in batches:
-            for k in range(0, batch.num_rows, rows):
-                out = step(batch.slice(k, rows).to_pydict())
+            starts = list(range(0, batch.num_rows, rows))
+            if letters and batch.num_rows:
+                upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // letters
+                starts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist()]
+            for k, end in zip(starts, [*starts[1:], batch.num_rows]):
+                out = step(batch.slice(k, end - k).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kinds], schema=kinds)
-        pa.default_memory_pool().release_unused()  # the worker waits for other tasks
+        del step
+        tidy()
 
     return df.mapInArrow(run, struct)
 

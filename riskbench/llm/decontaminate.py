@@ -30,6 +30,7 @@ WORD = re.compile(r"\w+")
 FEWEST = 5  # items of fewer words are searched as they stand
 MOST_WALKS = 1000
 MARKED = 6  # rare words of an item that its edits must leave
+SLICE = 2 << 20  # bytes of text that are searched together
 TABLE = 1 << 20  # places of a table of rare words, by low bits
 
 
@@ -63,9 +64,13 @@ def walk(words: np.ndarray, starts: np.ndarray, seed: int, steps: list[int], kno
     """
     at, alive, hashes, j = starts.copy(), np.arange(len(starts)), np.zeros(len(starts), U64), 0
     bits, few = None, len(starts) * 8 < len(words)  # the bits of all words at once, or of those under few cursors
+    key = None
     for k, step in enumerate(steps):
+        if not len(at):
+            break
         while j < step:
-            key = mix(np.array([seed * 1000 + j // 64], U64))
+            if key is None or j % 64 == 0:
+                key = mix(np.array([seed * 1000 + j // 64], U64))
             if not few and (bits is None or j % 64 == 0):
                 bits = mix(words ^ key)
             at += ((mix(words[at] ^ key) if few else bits[at]) >> U64(j % 64) & U64(1)).view(np.int64)
@@ -309,7 +314,7 @@ def _against(docs: DataFrame, compiled) -> DataFrame:
 
         return step
 
-    return map_batches(docs, make, "doc_id long, item_id long, n_edits long, item_words long, start long, end long", rows=128)
+    return map_batches(docs, make, "doc_id long, item_id long, n_edits long, item_words long, start long, end long", letters=SLICE)
 
 
 def clean(docs: DataFrame, leaks: DataFrame) -> DataFrame:

@@ -30,14 +30,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import stored
-from .common import U64, WordHashes, shared, shingles, texts
+from .common import U64, WordHashes, shared, shingles, texts, tidy
 from .components import connected
 
 WIDTH, SHARE = 5, 75  # words of a shingle; percent of the union that must be shared
 MANY = 8  # documents from which a shingle is frequent
 MOST_FREQUENT = 1 << 20  # frequent shingles that are told apart by number; the rest stay in hash order, with the same result
-FLUSH = 1_000_000  # shingles that a task packs at a time
-PER_FRAGMENT = 1_000_000
+FLUSH = 500_000  # shingles that a task packs at a time
+PER_FRAGMENT = 500_000
 SMALL = 100_000  # documents to verify up to which their ids are broadcast and the texts stay where they are
 HUBS = 3  # stars of frequent shingles that a set takes part in, in the first round and ``STAR_TURNS`` more, before all pairs left
 STAR_TURNS = 1
@@ -89,6 +89,8 @@ def _scan(docs: DataFrame, pack_docs, schema: str) -> DataFrame:
                     ids, sets, held = [], [], 0
         if ids:
             yield from pack_docs(ids, sets, kinds)
+        del ids, sets, hashes
+        tidy()
 
     return docs.mapInArrow(run, struct)
 
@@ -290,6 +292,8 @@ def pairs_of_few(pdf):
     stars = np.maximum.reduceat(star, at) if len(at) else star
     pairs = pd.DataFrame({"a": _signed(a[at]), "b": _signed(b[at]), "star": stars, "shared": np.diff(np.append(at, len(a)))}).assign(shingle=None, code=None, n=None)
     fragment = int(pdf["fragment"].iloc[0])
+    del found, a, b, star, ref, left
+    tidy()
     spill = pd.DataFrame({"a": None, "b": None, "star": None, "shared": None, "shingle": _signed((U64(fragment) << U64(40)) + rest[large]), "code": _signed(code[large].copy()), "n": n[large]})
     return pd.concat([pairs, spill]) if len(spill) else pairs
 
@@ -390,6 +394,8 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, only=None) ->
                         rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
+        del hashes
+        tidy()
 
     # The hub's set stands first in its place and range, and meets each of the bounded number of others there.
     w = Window.partitionBy("hub", "place", "cut").orderBy(F.desc("is_hub"))
