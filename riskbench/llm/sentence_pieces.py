@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from .common import map_batches, shared, texts
 
 SIGN = "▁"  # stands for a space inside pieces
+REMEMBERED = 300_000  # chunks in each of two generations
 
 
 class Machines:
@@ -162,9 +163,9 @@ class Encoder:
 
     kept: dict[str, list[dict[str, bytes]]] = {}
 
-    def __init__(self, machines: Machines, name: str = "", most: int = 100_000):
+    def __init__(self, machines: Machines, name: str = "", most: int = REMEMBERED):
         self.m, self.most = machines, most
-        self.ages = Encoder.kept.setdefault(name, [{}, {}]) if name else [{}, {}]
+        self.ages = Encoder.kept.setdefault(f"{name} {most}", [{}, {}]) if name else [{}, {}]
 
     def chunk(self, c: str) -> bytes:
         young, old = self.ages
@@ -193,13 +194,13 @@ class Encoder:
         return text[1:] if self.m.prefix and text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
+def encode(docs: DataFrame, model: str, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, ids (array of piece ids), n_ids and n_bytes_ids (ids from the byte fallback) for every row.
 
     A null text is empty and gives no ids; a null doc_id stays null; repeated rows are encoded each; other columns are
-    ignored; an empty table gives an empty table.
+    ignored; an empty table gives an empty table. ``remembered`` bounds the chunks that a worker keeps, in time and memory only.
     """
-    return _encoded(docs, model, "doc_id long, ids array<int>, n_ids long, n_bytes_ids long")
+    return _encoded(docs, model, "doc_id long, ids array<int>, n_ids long, n_bytes_ids long", remembered)
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:
@@ -219,13 +220,13 @@ def check_round_trip(docs: DataFrame, model: str) -> DataFrame:
     return _encoded(docs, model, "doc_id long, n_ids long, n_bytes_ids long, ids_sha256 string, decoded_chars long, round_trip boolean")
 
 
-def _encoded(docs: DataFrame, model: str, schema: str) -> DataFrame:
+def _encoded(docs: DataFrame, model: str, schema: str, remembered: int = REMEMBERED) -> DataFrame:
     machines = shared(docs.sparkSession, Machines(model))
     wants = {c.split(" ")[0] for c in schema.split(", ")}
 
     def make():
         m = machines.value
-        e = Encoder(m, model)
+        e = Encoder(m, model, remembered)
         of_bytes = np.zeros(len(m.out), bool)
         of_bytes[list(m.byte_ids.values())] = True
 
