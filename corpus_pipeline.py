@@ -37,7 +37,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the piece ids of each document."""
-    return sentence_pieces.encode(docs, tokenizer("piece_bpe_32k.model"))
+    return sentence_pieces.encode(docs, tokenizer("piece_bpe_32k.model"), remembered=100_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
