@@ -192,7 +192,8 @@ def metric_aggregate(spark, sf_dir):
 
 @register("metric_bootstrap_ci")
 def metric_bootstrap_ci(spark, sf_dir):
-    return M.bootstrap_ci(long_scores(spark, sf_dir), ["model"], "sensitivity", n_boot=2000)
+    """Intervals of every covered metric, one set of 2,000 replicates a model."""
+    return M.bootstrap_cis(long_scores(spark, sf_dir), ["model"], n_boot=2000, row_bound=D.row_bound(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- evaluation views

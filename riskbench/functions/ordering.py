@@ -60,7 +60,10 @@ def _range_of(cuts: Column, x: Column) -> Column:
     return step * _FAN + count_below(F.slice(cuts, step * _FAN + 1, _FAN), x)
 
 
-def _with_range(df: DataFrame, groups: list[str], order: str, cuts: DataFrame) -> DataFrame:
+def with_range(df: DataFrame, groups: list[str], order: str, cuts: DataFrame | None) -> DataFrame:
+    """Add ``_range``, the 0-based place of a row's range in the ascending order; one range where nothing is cut."""
+    if cuts is None:
+        return df.withColumn("_range", F.lit(0))
     if groups:
         joined = df.join(F.broadcast(cuts), groups, "left")  # at most one cut per ROWS_PER_RANGE input rows
     else:
@@ -92,7 +95,7 @@ def running_sums(
             {f"cum_{v}": F.sum(v).over(upto) for v in values} | {f"total_{v}": F.sum(v).over(whole) for v in values}
         )
 
-    ranged = _with_range(df, groups, order, cuts)
+    ranged = with_range(df, groups, order, cuts)
     keys = groups + ["_range"]
     before = W.partitionBy(*groups).orderBy(by("_range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = (

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import ordering as O
 from ..functions.numbers import clip, count_below, sum_when
+from ..session import stored
 
 N_BINS = 10
 ALL_METRICS = [
@@ -143,6 +144,18 @@ def calibration_bin(p: Column, n_bins: int = N_BINS) -> Column:
     return count_below(edges, p)
 
 
+def _finished(sums: DataFrame, n_bins: int = N_BINS) -> DataFrame:
+    """Every metric from n, n_pos, the confusion counts and the sums ``_sq``, ``_roc``, ``_pr`` and ``_gap<bin>``."""
+    return with_rates(sums).withColumns(
+        {
+            "roc_auc": F.try_divide(F.col("_roc"), _c("n_pos") * (F.col("n") - F.col("n_pos"))),
+            "pr_auc": F.try_divide(F.col("_pr"), _c("n_pos")),
+            "brier": F.col("_sq") / F.col("n"),
+            "ece": sum((F.abs(F.col(f"_gap{b}")) for b in range(n_bins)), F.lit(0.0)) / F.col("n"),
+        }
+    )
+
+
 def summary(
     pred: DataFrame,
     groups: Sequence[str],
@@ -173,15 +186,7 @@ def summary(
         _pr_auc_sum().alias("_pr"),
         *[sum_when(F.col("_bin") == b, gap).alias(f"_gap{b}") for b in range(n_bins)],
     )
-    out = with_rates(sums).withColumns(
-        {
-            "roc_auc": F.try_divide(F.col("_roc"), _c("n_pos") * (F.col("n") - F.col("n_pos"))),
-            "pr_auc": F.try_divide(F.col("_pr"), _c("n_pos")),
-            "brier": F.col("_sq") / F.col("n"),
-            "ece": sum((F.abs(F.col(f"_gap{b}")) for b in range(n_bins)), F.lit(0.0)) / F.col("n"),
-            "threshold": t,
-        }
-    )
+    out = _finished(sums, n_bins).withColumn("threshold", t)
     counts = ["n", "n_pos", "tn", "fp", "fn", "tp"]
     return out.select(*groups, *ALL_METRICS, "youden_j", F.col("threshold").cast("double").alias("threshold"), *counts)
 
@@ -294,47 +299,179 @@ def aggregate(per_fold: DataFrame, by: Sequence[str], metrics: Sequence[str] = t
     )
 
 
-BOOTSTRAP_METRICS = ["sensitivity", "specificity", "ppv", "npv", "accuracy", "balanced_accuracy", "f1", "mcc", "kappa", "youden_j"]
+# ---------------------------------------------------------------- bootstrap
 
+THRESHOLD_METRICS = ["sensitivity", "specificity", "ppv", "npv", "accuracy", "balanced_accuracy", "f1", "mcc", "kappa", "youden_j"]
+BOOTSTRAP_METRICS = [*THRESHOLD_METRICS, "roc_auc", "pr_auc", "brier", "ece"]
+ROWS_PER_DRAW = 200_000  # rows of a range whose replicates one task draws
+_REPLICATES_PER_BLOCK = 250
+_CELLS_AT_ONCE = 1_000_000  # weights that a task holds at a time
+_SUMS = ["n", "n_pos", "tn", "fp", "fn", "tp"]
 
-def bootstrap_ci(
+
+def replicate_sums(p, w_pos, w_neg, above_pos, above_neg, threshold: float, n_bins: int = N_BINS):
+    """What a range of falling distinct scores ``p`` adds to the metrics of each replicate: one running-sum pass for all.
+
+    ``w_pos`` and ``w_neg`` are (replicate, score) weights, ``above_*`` the weights above the range. Returns a matrix with a
+    column per count of ``_SUMS``, then the squared error, ranked pairs, precision sum and a calibration gap per bin.
+    """
+    import numpy as np
+
+    cum_pos = above_pos[:, None] + np.cumsum(w_pos, axis=1)
+    cum_all = cum_pos + above_neg[:, None] + np.cumsum(w_neg, axis=1)
+    hit = p >= threshold
+    clipped = np.clip(p, 0.0, 1.0)
+    bins = np.searchsorted([i * (1.0 / n_bins) for i in range(1, n_bins)], clipped, side="left")
+    gaps = w_pos - clipped * (w_pos + w_neg)
+    pos, neg = w_pos.sum(axis=1), w_neg.sum(axis=1)
+    tp, fp = w_pos[:, hit].sum(axis=1), w_neg[:, hit].sum(axis=1)
+    sums = [pos + neg, pos, neg - fp, fp, pos - tp, tp, w_pos @ (p - 1) ** 2 + w_neg @ p**2]
+    sums.append((w_neg * (cum_pos - w_pos / 2.0)).sum(axis=1))
+    sums.append((w_pos * (cum_pos / np.maximum(cum_all, 1))).sum(axis=1))
+    sums += [gaps[:, bins == b].sum(axis=1) for b in range(n_bins)]
+    return np.column_stack(sums).astype("float64")
+
+
+def _multinomial(rng, totals, counts):
+    """(replicate, cell) counts of ``totals`` draws each, by cells in proportion to ``counts``; empty cells get none."""
+    import numpy as np
+
+    out = np.zeros((len(totals), len(counts)), "int64")
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[:, some] = rng.multinomial(totals, counts[some] / counts[some].sum())
+    return out
+
+
+def bootstrap_replicates(
     pred: DataFrame,
     groups: Sequence[str],
-    metric: str = "sensitivity",
     threshold: float = 0.5,
     n_boot: int = 2000,
-    alpha: float = 0.05,
     seed: int = 20260830,
+    curves: bool = True,
+    row_bound: int | None = None,
+    rows_per_draw: int = ROWS_PER_DRAW,
 ) -> DataFrame:
-    """(groups..., n_boot_used, ci_low, ci_high): percentile interval of a threshold metric.
+    """(groups..., replicate, every metric of ``BOOTSTRAP_METRICS``) of rows drawn with replacement; replicates of one class are left out.
 
-    Drawing n rows with replacement changes a threshold metric only through the four confusion counts, and those are
-    multinomial. So the rows are counted once and each replicate draws four counts: the same distribution at any row count.
-    Replicates with one class are skipped.
+    Drawing n of n rows gives the distinct scores multinomial weights. They are drawn in two steps of the same distribution:
+    first the positives and negatives that fall in each range of scores (one small table a group), then, range by range and
+    in parallel, the weights inside. What lies above a range is known from the first step, so each range needs one pass
+    whatever its place. Rows collapse to distinct scores before anything is drawn; without ``curves`` to the two sides of
+    the threshold (ROC-AUC, average precision, Brier score and calibration error then mean nothing and are left out).
     """
-    if metric not in BOOTSTRAP_METRICS:
-        raise ValueError(f"bootstrap covers {BOOTSTRAP_METRICS}, not {metric!r}")
-    cells = confusion(pred, groups, threshold)
-    reps = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate")
-    keyed = cells.select(*cells.columns, reps).withColumn("_seed", F.xxhash64(F.lit(seed), F.col("replicate"), *groups))
-
-    @F.pandas_udf("tn long, fp long, fn long, tp long")
-    def draw(seed_, tn, fp, fn, tp):
+    groups = list(groups)
+    t = float(threshold)
+    if curves:
+        cuts = O.fit_cuts(pred, groups, "p", row_bound, rows_per_draw)
+        cells = O.with_range(distinct_scores(pred, groups), groups, "p", cuts)
+    else:
+        side = checked(pred).withColumn("p", F.when(F.col("p") >= t, 1.0).otherwise(0.0))
+        cells, t = O.with_range(distinct_scores(side, groups), groups, "p", None), 0.5
+    cells = stored(cells.select(*groups, "_range", "p", "pos", "neg"), "bootstrap-cells")
+    keyed = [cells.schema[g] for g in groups]
+
+    def tagged(df: DataFrame, *more: str) -> DataFrame:
+        return df.withColumn("_seed", F.xxhash64(F.lit(seed), *groups, *more))
+
+    # One row per (group, range); a group has at most MAX_CUTS + 1 ranges.
+    per_range = cells.groupBy(*groups, "_range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // _REPLICATES_PER_BLOCK)))
+    per_block = tagged(per_range.withColumn("_block", blocks), F.lit("ranges"), "_block")
+
+    def draw_ranges(key, rows):
+        import numpy as np
+        import pandas as pd
+
+        rows = rows.sort_values("_range", ascending=False)
+        first = int(rows["_block"].iloc[0]) * _REPLICATES_PER_BLOCK
+        size = min(_REPLICATES_PER_BLOCK, n_boot - first)
+        rng = np.random.default_rng(int(rows["_seed"].iloc[0]) % 2**64)
+        counts = np.concatenate([rows["pos"], rows["neg"]]).astype("int64")
+        drawn = _multinomial(rng, np.full(size, counts.sum()), counts)
+        pos, neg = drawn[:, : len(rows)], drawn[:, len(rows) :]
+        columns = {"pos": pos, "neg": neg, "above_pos": np.cumsum(pos, axis=1) - pos, "above_neg": np.cumsum(neg, axis=1) - neg}
+        out = pd.DataFrame({c: list(np.ascontiguousarray(m.T)) for c, m in columns.items()})
+        for name, value in zip(groups, key):
+            out[name] = value
+        return out.assign(_range=rows["_range"].to_numpy(), _first=first)
+
+    arrays = "pos array<bigint>, neg array<bigint>, above_pos array<bigint>, above_neg array<bigint>"
+    totals_type = T.StructType([*keyed, *T.StructType.fromDDL(f"_range int, _first int, {arrays}").fields])
+    totals = per_block.groupBy(*groups, "_block").applyInPandas(draw_ranges, totals_type)
+    names = ["_sq", "_roc", "_pr", *[f"_gap{b}" for b in range(N_BINS)]]
+
+    def draw_scores(key, rows, plan):
         import numpy as np
         import pandas as pd
 
-        counts = np.column_stack([tn, fp, fn, tp]).astype("int64")
-        out = np.empty_like(counts)
-        for i, (s, row) in enumerate(zip(seed_.to_numpy().astype("uint64"), counts)):
-            n = row.sum()
-            out[i] = np.random.default_rng(int(s)).multinomial(n, row / n)
-        return pd.DataFrame(out, columns=["tn", "fp", "fn", "tp"])
-
-    drawn = keyed.repartition("replicate").withColumn("_d", draw("_seed", "tn", "fp", "fn", "tp")).select(*groups, "_d.*")
-    two = drawn.where("tp + fn > 0 and tn + fp > 0")
-    value = with_rates(two, [metric])
-    return value.groupBy(*groups).agg(
+        if not len(rows):
+            return pd.DataFrame({f.name: [] for f in sums_type.fields})
+        rows = rows.sort_values("p", ascending=False)
+        p = rows["p"].to_numpy("float64")
+        counts = {c: rows[c].to_numpy("int64") for c in ("pos", "neg")}
+        plan = plan.sort_values("_first")
+        drawn = {c: np.concatenate(list(plan[c])) for c in ("pos", "neg", "above_pos", "above_neg")}
+        rng = np.random.default_rng(int(rows["_seed"].iloc[0]) % 2**64)
+        at_once = max(1, _CELLS_AT_ONCE // len(p))
+        parts = []
+        for i in range(0, n_boot, at_once):
+            part = {c: v[i : i + at_once] for c, v in drawn.items()}
+            w = [_multinomial(rng, part[c], counts[c]) for c in ("pos", "neg")]
+            parts.append(replicate_sums(p, *w, part["above_pos"], part["above_neg"], t))
+        out = pd.DataFrame(np.concatenate(parts), columns=_SUMS + names)
+        out[_SUMS] = out[_SUMS].astype("int64")
+        for name, value in zip(groups, key):
+            out[name] = value
+        return out.assign(replicate=np.arange(n_boot, dtype="int32"))
+
+    fields = [f"{c} bigint" for c in _SUMS] + [f"{c} double" for c in names]
+    sums_type = T.StructType([*keyed, *T.StructType.fromDDL("replicate int, " + ", ".join(fields)).fields])
+    by_range = tagged(cells, F.lit("scores"), "_range").groupBy(*groups, "_range")
+    parts = by_range.cogroup(totals.groupBy(*groups, "_range")).applyInPandas(draw_scores, sums_type)
+    sums = parts.groupBy(*groups, "replicate").agg(*[F.sum(c).alias(c) for c in _SUMS + names])
+    two = _finished(sums.where("tp + fn > 0 and tn + fp > 0"))
+    return two.select(*groups, "replicate", *(BOOTSTRAP_METRICS if curves else THRESHOLD_METRICS))
+
+
+def bootstrap_cis(
+    pred: DataFrame,
+    groups: Sequence[str],
+    metrics: Sequence[str] = tuple(BOOTSTRAP_METRICS),
+    threshold: float = 0.5,
+    n_boot: int = 2000,
+    alpha: float = 0.05,
+    seed: int = 20260830,
+    row_bound: int | None = None,
+    rows_per_draw: int = ROWS_PER_DRAW,
+) -> DataFrame:
+    """(groups..., metric, n_boot_used, ci_low, ci_high): percentile intervals of several metrics from the same replicates.
+
+    Replicates with one class are skipped; where a metric is undefined in a replicate, that replicate gives it no value.
+    """
+    unknown = [m for m in metrics if m not in BOOTSTRAP_METRICS]
+    if unknown or not metrics:
+        raise ValueError(f"bootstrap covers {BOOTSTRAP_METRICS}, not {unknown}")
+    curves = any(m not in THRESHOLD_METRICS for m in metrics)
+    reps = bootstrap_replicates(pred, groups, threshold, n_boot, seed, curves, row_bound, rows_per_draw)
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])
+    return reps.select(*groups, F.inline(cells)).groupBy(*groups, "metric").agg(
         F.count("*").alias("n_boot_used"),
-        F.percentile(metric, alpha / 2).alias("ci_low"),
-        F.percentile(metric, 1 - alpha / 2).alias("ci_high"),
+        F.percentile("value", alpha / 2).alias("ci_low"),
+        F.percentile("value", 1 - alpha / 2).alias("ci_high"),
     )
+
+
+def bootstrap_ci(
+    pred: DataFrame,
+    groups: Sequence[str],
+    metric: str = "sensitivity",
+    threshold: float = 0.5,
+    n_boot: int = 2000,
+    alpha: float = 0.05,
+    seed: int = 20260830,
+    row_bound: int | None = None,
+) -> DataFrame:
+    """(groups..., n_boot_used, ci_low, ci_high): percentile interval of one metric."""
+    return bootstrap_cis(pred, groups, [metric], threshold, n_boot, alpha, seed, row_bound).drop("metric")

@@ -101,8 +101,85 @@ def test_bootstrap(spark, scored):
     assert ci["n_boot_used"] == 400
     assert abs(ci["ci_low"] - (at - half)) < half / 2 and abs(ci["ci_high"] - (at + half)) < half / 2
     assert one(M.bootstrap_ci(df, [], n_boot=400)) == ci
-    with pytest.raises(ValueError):
-        M.bootstrap_ci(df, [], "roc_auc")
+    for wrong in ("logloss", ""):
+        with pytest.raises(ValueError):
+            M.bootstrap_ci(df, [], wrong)
+
+
+def by_rows(y, p):
+    """Metrics of rows, each by its definition."""
+    import numpy as np
+
+    pos, neg = p[y == 1], p[y == 0]
+    gap = pos[:, None] - neg[None, :]
+    cut = np.unique(p)[::-1]
+    hits = np.array([(pos >= c).sum() for c in cut])
+    everyone = np.array([(p >= c).sum() for c in cut])
+    step = np.diff(np.concatenate([[0], hits]))
+    bins = np.clip(np.ceil(p * 10) - 1, 0, 9)
+    ece = sum(abs((y[bins == b] - p[bins == b]).sum()) for b in range(10)) / len(y)
+    return {
+        "sensitivity": (pos >= 0.5).mean(),
+        "roc_auc": ((gap > 0) + 0.5 * (gap == 0)).mean(),
+        "pr_auc": (step * hits / everyone).sum() / len(pos),
+        "brier": ((p - y) ** 2).mean(),
+        "ece": ece,
+    }
+
+
+@pytest.fixture(scope="module")
+def two_hundred():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    y = (rng.random(200) < 0.35).astype(int)
+    return y, np.round(np.clip(0.3 + 0.3 * y + rng.normal(0, 0.23, 200), 0.0, 0.98), 2) + 0.003
+
+
+def test_sums_of_weighted_scores_equal_repeated_rows(two_hundred):
+    """Two ranges, the upper one first, add up to the metrics of the rows written out."""
+    import numpy as np
+
+    y, p = two_hundred
+    rng = np.random.default_rng(5)
+    cut = np.unique(p)[::-1]
+    w = [np.array([rng.multinomial((y == c).sum(), [((p == v) & (y == c)).sum() / (y == c).sum() for v in cut])]) for c in (1, 0)]
+    up = [x[:, :40] for x in w]
+    zero = np.zeros(1, "int64")
+    total = M.replicate_sums(cut[:40], *up, zero, zero, 0.5)[0] + M.replicate_sums(
+        cut[40:], w[0][:, 40:], w[1][:, 40:], up[0].sum(axis=1), up[1].sum(axis=1), 0.5
+    )[0]
+    n, pos, _, _, _, tp, sq, roc, pr, *gaps = total
+    want = by_rows(np.repeat([1, 0], [pos, n - pos]).astype(int), np.concatenate([np.repeat(cut, x[0]) for x in w]))
+    got = {"sensitivity": tp / pos, "roc_auc": roc / (pos * (n - pos)), "pr_auc": pr / pos, "brier": sq / n, "ece": sum(map(abs, gaps)) / n}
+    assert all(math.isclose(got[m], want[m], rel_tol=1e-9) for m in want)
+
+
+@pytest.mark.parametrize("rows_per_draw", [1_000_000, 30])
+def test_bootstrap_of_curves_agrees_with_drawn_rows(spark, two_hundred, rows_per_draw):
+    """Replicates have the distribution of metrics over resampled rows, whether scores are in one range or in several."""
+    import numpy as np
+
+    y, p = two_hundred
+    rng = np.random.default_rng(11)
+    drawn = [by_rows(y[i], p[i]) for i in (rng.integers(0, 200, 200) for _ in range(2000))]
+    reps = M.bootstrap_replicates(frame(spark, y.tolist(), p.tolist()), [], rows_per_draw=rows_per_draw).toPandas()
+    assert len(reps) == 2000 and reps["replicate"].is_unique
+    for m in drawn[0]:
+        want = np.array([d[m] for d in drawn])
+        sd = want.std()
+        assert abs(reps[m].mean() - want.mean()) < 0.15 * sd and 0.9 < reps[m].std() / sd < 1.1, m
+        for q in (0.025, 0.975):
+            assert abs(reps[m].quantile(q) - np.quantile(want, q)) < 0.35 * sd, (m, q)
+
+
+def test_bootstrap_groups_null_keys_and_one_class(spark):
+    rows = [("a", i % 2, i / 20) for i in range(20)] + [(None, i % 2, i / 20) for i in range(20)] + [("one", 1, 0.4)] * 5
+    df = spark.createDataFrame(rows, "g string, y int, p double")
+    got = {(r["g"], r["metric"]): r for r in M.bootstrap_cis(df, ["g"], ["roc_auc", "brier"], n_boot=60).collect()}
+    assert {g for g, _ in got} == {"a", None}  # a group of one class has no replicate with two
+    assert all(r["ci_low"] <= r["ci_high"] and r["n_boot_used"] == 60 for r in got.values())
+    assert M.bootstrap_cis(df.where("false"), ["g"], n_boot=10).count() == 0
 
 
 @pytest.mark.parametrize("y, p", [(2, 0.5), (None, 0.5), (1, None), (1, float("nan"))])
