@@ -24,6 +24,66 @@ def test_t_tails(spark):
     assert math.isclose(value(spark, T.upper_tail(F.lit(-1.0), F.lit(1))), 0.75)
 
 
+def exact_tail(t, df):
+    """P(|T| > t) for even degrees of freedom, by the finite series in 400 digits."""
+    from decimal import Decimal as D, localcontext
+
+    with localcontext() as ctx:
+        ctx.prec = 400
+        x = D(df) / (D(df) + D(t) ** 2)
+        term = total = D(1)
+        for j in range(1, df // 2):
+            term *= x * (2 * j - 1) / (2 * j)
+            total += term
+        return float(1 - D(t) / (D(df) + D(t) ** 2).sqrt() * total)
+
+
+def simpson_centre(t, df, n=20_000):
+    """P(|T| <= t) by Simpson's rule on the density."""
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    f = [scale * (1 + (t * i / n) ** 2 / df) ** (-(df + 1) / 2) for i in range(n + 1)]
+    return 2 * t / n / 3 * (f[0] + f[-1] + 4 * math.fsum(f[1:-1:2]) + 2 * math.fsum(f[2:-1:2]))
+
+
+def test_t_tails_keep_their_digits_and_take_any_df(spark):
+    whole = [(t, df) for t in (0.001, 0.7, 2.0, 40.0, 1e4) for df in (2, 4, 30, 200, 1000)]
+    part = [(t, df) for t in (0.3, 2.0, 6.0) for df in (0.5, 2.5, 7.25, 333.3)]
+    cases = spark.createDataFrame([(float(t), float(df)) for t, df in whole + part], "t double, df double")
+    both = cases.select("t", "df", T.two_sided_p(F.col("t"), F.col("df")).alias("p"), T.central(F.col("t"), F.col("df")).alias("c"))
+    got = {(r["t"], r["df"]): r for r in both.collect()}
+    for t, df in whole:
+        assert math.isclose(got[t, df]["p"], exact_tail(t, df), rel_tol=1e-10, abs_tol=1e-300), (t, df)
+    for t, df in part:
+        assert math.isclose(got[t, df]["c"], simpson_centre(t, df), rel_tol=1e-10), (t, df)
+    assert exact_tail(40.0, 30) < 1e-26  # far below what one minus the centre could show
+
+
+def test_t_tails_at_the_edges(spark):
+    cases = spark.createDataFrame([(0.0, 3.0), (float("inf"), 3.0), (1.0, 0.0), (1.0, None), (None, 2.0), (float("nan"), 2.0), (-2.0, 4.0)], "t double, df double")
+    got = [r["p"] for r in cases.coalesce(1).select(T.two_sided_p(F.col("t"), F.col("df")).alias("p")).collect()]
+    assert got[:6] == [1.0, 0.0, None, None, None, None] and math.isclose(got[6], exact_tail(2.0, 4))
+
+
+def test_t_quantile_has_no_end(spark):
+    dfs = spark.createDataFrame([(1.0,), (2.0,), (2.5,), (50.0,), (0.0,)], "df double")
+    p = 1 - 2.0**-40
+    at = F.col("q")
+    got = dfs.withColumn("q", T.quantile(p, F.col("df"))).withColumn("back", T.upper_tail(at, F.col("df"))).collect()
+    for r in got[:4]:
+        assert math.isclose(r["back"], 2.0**-40, rel_tol=1e-9)
+    assert math.isclose(got[0]["q"], 1 / math.tan(math.pi * 2.0**-40), rel_tol=1e-9) and got[0]["q"] > 1e11
+    assert got[4]["q"] is None
+    assert [r["q"] for r in dfs.select(T.quantile(0.5, F.col("df")).alias("q")).collect()] == [0.0] * 4 + [None]
+
+
+def test_chi_square_tail(spark):
+    xs = [0.0, 1e-10, 0.5, 3.84, 7.99, 8.0, 20.0, 600.0, 1400.0, 1e6]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for r in df.select("x", T.chi2_1_upper(F.col("x")).alias("p")).collect():
+        assert math.isclose(r["p"], math.erfc(math.sqrt(r["x"] / 2)), rel_tol=1e-11, abs_tol=1e-320)
+    assert value(spark, T.chi2_1_upper(F.lit(None).cast("double"))) is None
+
+
 def preds(spark, pairs):
     rows = [(i, m, y, p) for i, (y, a, b) in enumerate(pairs) for m, p in (("a", float(a)), ("b", float(b)))]
     return spark.createDataFrame(rows, "record_id long, model string, y int, p double")
