@@ -37,6 +37,29 @@ def model_logreg(spark, sf_dir):
     return H.evaluate({"logreg": MD.build("logreg")}, df, "cardio", f, "train", {"folds": 5, "repeats": 5}, shared_k=8)
 
 
+# Every third record of this table is one and the same row but for its class; none has an id.
+_REPEATED = {"age": 18000, "height": 165.0, "weight": 70.0, "ap_hi": 120.0, "ap_lo": 80.0, "smoke": 0, "alco": 0, "active": 1, "gender": 1, "cholesterol": 1, "gluc": 1}
+
+
+@register(
+    "harness_repeated_rows",
+    ctes(SUBJECTS) + """
+    , c AS (SELECT cardio, COUNT(*) AS m FROM subjects GROUP BY cardio)
+    , f AS (SELECT CAST(r.r AS INTEGER) AS rep, CAST(k.f AS INTEGER) AS fold, CAST(SUM(m // 5 + (k.f < m % 5)::INT) AS BIGINT) AS n,
+                   CAST(SUM(cardio * (m // 5 + (k.f < m % 5)::INT)) AS BIGINT) AS n_pos
+            FROM c, range(5) r(r), range(5) k(f) GROUP BY ALL)
+    SELECT 'logreg' AS model, rep, fold, n, n_pos, CAST((SELECT SUM(m) FROM c) - n AS BIGINT) AS n_train, CAST((SELECT SUM(m) FROM c) AS BIGINT) AS record_ids FROM f""",
+)
+def harness_repeated_rows(spark, sf_dir):
+    """A file without ids, a third of whose rows are copies: load, folds and evaluation over 5 x 5 folds."""
+    plain = rows(spark, sf_dir)
+    copied = plain.withColumns({c: F.when(F.col(S.ID) % 3 == 0, F.lit(v)).otherwise(F.col(c)).cast(plain.schema[c].dataType) for c, v in _REPEATED.items()})
+    df = stored(clinical_csv.load_delimited(spark, clinical_csv.write_delimited(copied, "repeated-csv")), "repeated-rows")
+    ids = df.select(S.ID).distinct().count()
+    led = H.evaluate({"logreg": MD.build("logreg")}, df, "cardio", P.repeated_stratified_folds(df, "cardio"), 0.5, shared_k=8)
+    return led.select("model", "rep", "fold", "n", "n_pos", "n_train", F.lit(ids).cast("long").alias("record_ids"))
+
+
 def _trees(spark, sf_dir, models: dict):
     """A pass over the rows serves a level of the trees of all 5 x 5 training sets."""
     config = {"folds": 5, "repeats": 5, "source": "orders", "seed": S.BASE_SEED}

@@ -11,10 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..session import stored
 from .numbers import count_below
 
 ROWS_PER_RANGE = 4_000_000
 MAX_CUTS = 4096
+COPIES_PER_BLOCK = 1_000_000  # copies of one row that a task writes out
 _FAN = 64
 
 
@@ -162,3 +164,28 @@ def rank_by_draw(
         .withColumn(out, F.row_number().over(local) + F.col("_before"))
         .drop("_range", "_before")
     )
+
+
+def number_rows(df: DataFrame, out: str, seed: int = 0, rows_per_range: int | None = None) -> DataFrame:
+    """Every row with a number of its own, 1 to n in the order of a hash: the same on any cluster and for any file layout.
+
+    Rows equal in every column are counted first, so a row that is repeated without end costs one row a task; its copies are
+    then written out with their occurrence number, in blocks that are spread where there are many. The hash covers the row
+    and its occurrence, so copies lie apart in the order and no range is hot. ``out`` is replaced if it is there; an empty
+    table stays empty; NULLs are values like others.
+    """
+    names = [c for c in df.columns if c != out]
+    counted = stored(df.groupBy(*names).agg(F.count("*").alias("_n")), "row-counts")
+    last = F.col("_n") - 1
+    few = counted.where(F.col("_n") <= COPIES_PER_BLOCK).select(*names, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_copy"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / COPIES_PER_BLOCK))).alias("_block")
+    spread = counted.where(F.col("_n") > COPIES_PER_BLOCK).select("*", block).repartition(F.xxhash64(*names, "_block"))
+    first = F.col("_block") * COPIES_PER_BLOCK
+    copies = F.explode(F.sequence(first, F.least(first + (COPIES_PER_BLOCK - 1), last))).alias("_copy")
+    rows = few.unionByName(spread.select(*names, copies))
+    text = F.to_json(F.struct(*names)) if names else F.lit("")
+    drawn = rows.withColumn("_tie", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("_copy").cast("string"), text), 256))
+    drawn = drawn.withColumn("_draw", F.substring("_tie", 1, 16))
+    total = counted.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    numbered = rank_by_draw(drawn, [], "_draw", "_tie", total, out, rows_per_range)
+    return numbered.select(out, *names)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
 from ..functions.numbers import not_finite, sum_when
+from ..functions.ordering import number_rows
 
 # Inclusive bounds of a scoring request; age is in years here.
 REQUEST_BOUNDS = {
@@ -114,6 +115,18 @@ def accepted(df: DataFrame) -> DataFrame:
     return reject_reasons(df).where(F.size("reasons") == 0).drop("reasons")
 
 
+def with_record_ids(df: DataFrame) -> DataFrame:
+    """``df`` whose record ids tell all rows apart: its own where they do, else numbers of the rows by their content.
+
+    Folds join and count by record id, so rows that repeat whole, or that come without ids, are numbered before anything else.
+    """
+    if S.ID in df.columns:
+        missing = F.col(S.ID).isNull()
+        if not df.groupBy(S.ID).count().where(missing | (F.col("count") > 1)).limit(1).count():
+            return df
+    return number_rows(df, S.ID, S.BASE_SEED)
+
+
 def evaluation_input_checks(df: DataFrame, target: str, group: str | None = None, features: Sequence[str] = ()) -> DataFrame:
     """One row of counts that must be zero (except ``n``) before an evaluation starts."""
     t = F.col(target)

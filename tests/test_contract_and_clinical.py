@@ -84,6 +84,42 @@ def test_delimited_source(spark, tmp_path):
         CSV.load(spark, "nowhere", "x")
 
 
+def test_rows_without_unique_ids_are_numbered(spark, tmp_path, monkeypatch):
+    """Whole rows repeated, ids and all, and a file without ids: each row gets an id of its own, the same for any layout."""
+    from riskbench.functions import ordering as O
+
+    head, line = ";".join(S.ALL_COLUMNS), "18393;168;62;110;80;0;0;1;2;1;1;0"
+    other = "18394;;62;110;80;0;0;1;2;1;1;1"
+    lines = [line] * 30 + [other, other, "18395;170;62;110;80;0;0;1;2;1;1;1"]
+    (tmp_path / "none.csv").write_text("\n".join([head, *lines]) + "\n")
+    (tmp_path / "twice.csv").write_text("\n".join(["id;" + head, *(f"{7 if x == line else i};{x}" for i, x in enumerate(lines))]) + "\n")
+    (tmp_path / "turned.csv").write_text("\n".join([head, *lines[::-1]]) + "\n")
+    plain = sorted(map(tuple, CSV.load_delimited(spark, str(tmp_path / "none.csv")).collect()))
+    assert [r[0] for r in plain] == list(range(1, 34))
+    for name in ("twice.csv", "turned.csv"):
+        assert sorted(map(tuple, CSV.load_delimited(spark, str(tmp_path / name)).collect())) == plain
+    monkeypatch.setattr(O, "COPIES_PER_BLOCK", 4)  # the thirty copies are written out in eight blocks
+    blocks = O.number_rows(CSV.load_delimited(spark, str(tmp_path / "none.csv")), S.ID, S.BASE_SEED, rows_per_range=3)
+    assert sorted(map(tuple, blocks.select(S.ID, *S.ALL_COLUMNS).collect())) == plain
+    assert O.number_rows(spark.createDataFrame([], "a int"), "n").count() == 0
+    own = subjects(spark, [changed()])
+    assert V.with_record_ids(own) is own
+
+
+def test_repeated_rows_are_evaluated(spark, tmp_path):
+    """Planted whole-row copies pass load, folds and a fit per fold, each row once."""
+    from riskbench.operators import splits as P
+    from riskbench.plans import harness as H, models as MD
+
+    planted = X.clinical_like(spark, 200).toPandas()
+    planted["id"] = planted["record_id"].where(planted.index % 50 != 0, 1)  # some ids stand for several rows, too
+    planted[["id", *S.ALL_COLUMNS]].to_csv(tmp_path / "planted.csv", sep=";", index=False)
+    df = CSV.load(spark, "clinical_csv", str(tmp_path / "planted.csv"))
+    assert df.count() == df.select(S.ID).distinct().count() == len(planted)
+    led = H.evaluate({"logreg": MD.build("logreg")}, df, "cardio", P.repeated_stratified_folds(df, "cardio", 2, 1), 0.5)
+    assert sum(r["n"] for r in led.collect()) == len(planted)
+
+
 def test_audit_of_planted_traps(spark, tmp_path):
     df = X.clinical_like(spark, 200)
     d = A.duplicate_summary(A.feature_groups(df)).first()
