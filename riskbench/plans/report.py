@@ -151,8 +151,8 @@ def awaiting(catalog: DataFrame, ledger: DataFrame) -> DataFrame:
     return catalog.join(ledger.select("model").distinct(), "model", "left_anti")
 
 
-def latest_per_model(ledger: DataFrame, order: Sequence[str] = ("run_ts", "rep", "fold")) -> DataFrame:
-    """(model, runs, latest...): the row count and the last row per model in the given order."""
+def latest_per_model(ledger: DataFrame, order: Sequence[str] = ("run_no", "run_ts", "run_id", "rep", "fold")) -> DataFrame:
+    """(model, runs, latest...): the row count and the last row per model in the given order; missing order columns are left out."""
     keys = [c for c in order if c in ledger.columns]
     rest = [c for c in ledger.columns if c not in ("model", *keys)]
     g = ledger.groupBy("model").agg(F.count("*").alias("runs"), F.max(F.struct(*keys, F.struct(*rest).alias("row"))).alias("_l"))

@@ -152,6 +152,26 @@ def test_ledger_files(spark, tmp_path):
     assert [r["model"] for r in kept.collect()] == ["logreg"] and kept.first()["source"] == "a,b"
 
 
+def test_ledger_runs_are_published_last(spark, tmp_path):
+    rows = spark.createDataFrame([("7", 0, f, 0.5 + f) for f in range(3)], "model string, rep int, fold int, roc_auc double")
+    path = str(tmp_path / "led")
+    with pytest.raises(FileNotFoundError):
+        LF.read(spark, path)
+    first = LF.append(rows, path)
+    LF.append(rows.where("fold = 0"), path, {"note": "again"})
+    rows.withColumn("run_no", F.lit(3)).write.partitionBy("model").parquet(f"{path}/rows/run_id=runhalf")  # no manifest entry
+    got = LF.read(spark, path)
+    assert got.count() == 4 and {r["note"] for r in got.collect()} == {None, "again"}
+    assert [(r["run_no"], r["rows"]) for r in LF.runs(spark, path).orderBy("run_no").collect()] == [(1, 3), (2, 1)]
+    latest = R.latest_per_model(got).first()
+    assert (latest["model"], latest["runs"], latest["run_no"], latest["fold"], latest["note"]) == ("7", 4, 2, 0, "again")
+    assert got.where(F.col("run_id") == first).count() == 3
+    LF.append(rows.where("false"), path)
+    assert LF.read(spark, path).count() == 4 and LF.runs(spark, path).count() == 2
+    with pytest.raises(ValueError, match="run_no"):
+        LF.append(rows.withColumn("run_no", F.lit(1)), path)
+
+
 def test_out_of_fold_takes_the_last_repeat(spark):
     df = spark.createDataFrame([("m", 0, 1, 7, 0, 0.1), ("m", 1, 2, 7, 0, 0.9)], "model string, rep int, fold int, record_id long, y int, p double")
     assert L.out_of_fold(df).first()["p"] == 0.9
