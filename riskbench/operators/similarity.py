@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import is_complete, new_path
+from ..session import is_complete, shared_dir
 
 MAX_SAMPLES = 2000
 SECONDS_PER_PAIR = 0.004
@@ -213,8 +213,8 @@ def content_key(df: DataFrame, key: str, vector: str, settings: str = "") -> str
 
 
 def cached(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Write under a content key unless it is there already, and read it back."""
-    path = f"{(folder or new_path(df.sparkSession, 'cache')).rstrip('/')}/{name}"
+    """Write under a content key unless it is there already, and read it back. By default below the shared folder, for all jobs."""
+    path = f"{(folder or shared_dir(df.sparkSession) + '/riskbench/cache').rstrip('/')}/{name}"
     if not is_complete(df.sparkSession, path):  # what a failed job left is written anew
         df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

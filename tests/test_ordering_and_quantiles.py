@@ -96,3 +96,13 @@ def test_cuts_grow_with_rows_not_with_the_largest_group(spark):
     per_group = {r["g"]: len(r["_cuts"]) for r in cuts.collect()}
     assert sum(per_group.values()) <= 60_000 / 1000 + len(per_group)
     assert len(per_group) == 11 and per_group[0] >= 39 and per_group[1] >= 2
+
+
+def test_cache_hits_on_its_default_folder(spark):
+    import uuid
+
+    from riskbench.operators import similarity as N
+
+    name = f"test-{uuid.uuid4().hex}"
+    assert N.cached(spark.range(3), name).count() == 3
+    assert N.cached(spark.range(5), name).count() == 3  # there already: nothing is written again
