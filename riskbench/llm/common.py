@@ -53,7 +53,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
             for k, end in zip(starts, [*starts[1:], batch.num_rows]):
                 out = step(batch.slice(k, end - k).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kinds], schema=kinds)
-        del step
+        step = batch = out = None  # else the last ones live on beyond the tidying
         tidy()
 
     return df.mapInArrow(run, struct)

@@ -89,7 +89,7 @@ def _scan(docs: DataFrame, pack_docs, schema: str) -> DataFrame:
                     ids, sets, held = [], [], 0
         if ids:
             yield from pack_docs(ids, sets, kinds)
-        del ids, sets, hashes
+        ids = sets = hashes = batch = None
         tidy()
 
     return docs.mapInArrow(run, struct)
@@ -394,7 +394,7 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, only=None) ->
                         rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
-        del hashes
+        hashes = batch = rows = s = parts = part = to = None
         tidy()
 
     # The hub's set stands first in its place and range, and meets each of the bounded number of others there.

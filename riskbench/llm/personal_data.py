@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
-from .common import WordHashes, map_batches, shared, texts
+from .common import WordHashes, map_batches, shared, texts, tidy
 
 KINDS = ["email", "ip", "card", "phone"]
 MARKS = 1 << 20  # bytes of a table of low bits
@@ -149,6 +149,9 @@ def _summed(docs: DataFrame, keys: list[str], make, most: int) -> DataFrame:
                         sums.clear()
         if sums:
             yield out()
+        sums.clear()
+        add = batch = None
+        tidy()
 
     rows = texts(docs).select("text").mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "n"]))
     return rows.groupBy(*keys).agg(F.sum("n").alias("n"))
@@ -311,7 +314,8 @@ def sanitise(docs: DataFrame, remove: float = 0.95, **how) -> DataFrame:
         return text.map(lambda t: text_key(t) if t and (base_spans(t) or any(passing[w] is not None for w in set(_TERM.findall(t)))) else None)
 
     kept = [c for c in docs.columns]
-    keyed = docs.withColumn("__key", key("text"))
+    # Written, so that a text is keyed once: a filter on the key would run it once more in the same task, and the other side again.
+    keyed = stored(docs.withColumn("__key", key("text")), "keyed-texts")
     added = term_spans(docs, found, marks, remove).select(F.col("text_key").alias("__key"), F.col("terms").alias("__terms"))
     rewritten_rows = keyed.where("__key is not null").join(added, "__key", "left").withColumn("text", rewritten("text", "__terms"))
     if "n_chars" in kept:
