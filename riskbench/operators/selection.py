@@ -23,6 +23,7 @@ from .contract import require_columns
 
 GROUP = ["rep", "fold", "feature"]
 HOT_SHARE = 1000
+MOST_RANKS = 2_000_000  # ranks (of values in training sets) that a pass over the rows looks up
 
 # Why each candidate is offered.
 RATIONALE = {
@@ -160,9 +161,9 @@ def train_spearman(
 ) -> DataFrame:
     """(rep, fold, a, b, rho): absolute Spearman correlation on median-filled training rows.
 
-    Ranks are found per distinct value and fold, packed into one array per value, and joined to the rows once; common
-    values (flags, codes, missing) are broadcast. Rows are expanded to their training folds only inside the map-side
-    aggregation of the correlations. ``fill`` and ``values`` come from ``prepared``, if it has run already.
+    Ranks are found per distinct value and fold. Where the ranks of a repeat are few enough (``MOST_RANKS``) they go to the tasks, which
+    look them up and add up the products of all training sets, so no row is shuffled or copied; where they are not, they are joined
+    to the rows. ``fill`` and ``values`` come from ``prepared``, if it has run already.
     """
     features = list(features)
     if fill is None or values is None:
@@ -171,7 +172,98 @@ def train_spearman(
     run = O.running_sums(values, GROUP, "value", ["n"], cuts=O.fit_cuts(values, GROUP, "value", row_bound))
     centred = (F.col("cum_n") - (F.col("n") - 1) / 2.0 - (F.col("total_n") + 1) / 2.0) / F.col("total_n")
     rank = run.select(*GROUP, "value", centred.alias("rank"))
-
+    per_rep = {r["rep"]: r["count"] for r in values.groupBy("rep").count().collect()}
+    if max(per_rep.values(), default=0) > MOST_RANKS:
+        return _joined_spearman(df, features, k, row_bound, fill, rank)
+    rows, passes = _merged(df, features, min(per_rep, default=0)), []
+    for rep in sorted(per_rep):
+        if not passes or sum(per_rep[r] for r in passes[-1]) + per_rep[rep] > MOST_RANKS:
+            passes.append([])
+        passes[-1].append(rep)
+    out = [cell for reps in passes for cell in _looked_up_spearman(rows, features, k, fill, rank, reps)]
+    return df.sparkSession.createDataFrame(out, f"rep {df.schema['rep'].dataType.simpleString()}, fold int, a string, b string, rho double")
+
+
+def _merged(df: DataFrame, features: Sequence[str], rep: int) -> DataFrame:
+    """(rep, fold, features): rows of one record id count once; only ids that repeat, which one repeat tells, are shuffled."""
+    rows = df.select("rep", "fold", ID, *[F.col(f).cast("double").alias(f) for f in features])
+    again = rows.where(F.col("rep") == rep).groupBy(F.col(ID).alias("_again")).count().where("count > 1").select("_again")
+    names = ["rep", "fold", *features]
+    if again.isEmpty():
+        return rows.select(*names)
+    met = F.col(ID).eqNullSafe(F.col("_again"))
+    merged = rows.join(again, met, "left_semi").groupBy("rep", "fold", ID).agg(*[F.max(f).alias(f) for f in features])
+    return rows.join(again, met, "left_anti").select(*names).unionByName(merged.select(*names))
+
+
+def _looked_up_spearman(rows: DataFrame, features: list[str], k: int, fill: DataFrame, rank: DataFrame, reps: Sequence[int]) -> list[tuple]:
+    """(rep, fold, a, b, rho) of some repeats, from one pass over their rows."""
+    import numpy as np
+
+    position = F.array_position(F.array(*map(F.lit, features)), F.col("feature")).cast("int") - 1
+    got = rank.where(F.col("rep").isin(list(reps))).select("rep", "fold", position.alias("feature"), "value", "rank").toArrow()
+    rep, fold, feature, value, ranks = (got[c].to_numpy() for c in ("rep", "fold", "feature", "value", "rank"))
+    place = {r: i for i, r in enumerate(reps)}
+    at = np.array([place[r] for r in rep.tolist()], np.int64) * k + fold
+    medians = {(place[r["rep"]] * k + r["fold"], r["feature"]): r["median"] for r in fill.collect() if r["rep"] in place}
+    # Of each feature: its values, ascending, and their rank in every training set; behind them the rank of a missing value.
+    tables = []
+    for i, f in enumerate(features):
+        own = feature == i
+        known, where = np.unique(value[own], return_inverse=True)
+        table = np.zeros((len(reps) * k, len(known) + 1))
+        table[at[own], where] = ranks[own]
+        for s in range(len(reps) * k):
+            m = medians.get((s, f))
+            j = np.searchsorted(known, m) if m is not None else len(known)
+            table[s, -1] = table[s, j] if j < len(known) and known[j] == m else 0.0
+        tables.append((known, table))
+    spark = rows.sparkSession
+    held = spark.sparkContext.broadcast((tables, place))  # MOST_RANKS numbers, and as many values at most
+    width = len(features)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        tables, place = held.value
+        sums = np.zeros((len(place) * k, width, width))
+        for batch in batches:
+            own, fold = batch.column("rep").to_numpy(zero_copy_only=False), batch.column("fold").to_numpy(zero_copy_only=False)
+            index = []
+            for f, (known, _) in zip(features, tables):
+                column = batch.column(f)
+                x = column.fill_null(0.0).to_numpy(zero_copy_only=False)
+                index.append(np.where(column.is_null().to_numpy(zero_copy_only=False), len(known), np.minimum(np.searchsorted(known, x), len(known))))
+            for r, p in place.items():
+                here = np.flatnonzero(own == r)
+                part = [i[here] for i in index]
+                for f in range(k):
+                    train = (fold[here] != f).astype(float)
+                    z = np.stack([table[p * k + f].take(i) for (_, table), i in zip(tables, part)])
+                    sums[p * k + f] += (z * train) @ z.T
+        flat = sums.reshape(len(sums), -1)
+        at = np.repeat(np.arange(len(flat), dtype=np.int32), width * width), np.tile(np.arange(width * width, dtype=np.int32), len(flat))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, at), pa.array(flat.ravel())], ["at", "place", "value"])
+
+    found = rows.where(F.col("rep").isin(list(reps))).mapInArrow(run, "at int, place int, value double").groupBy("at", "place").agg(F.sum("value").alias("value")).toArrow()
+    held.unpersist()
+    sums = np.zeros((len(reps) * k, width * width))
+    sums[found["at"].to_numpy(), found["place"].to_numpy()] = found["value"].to_numpy()
+    out = []
+    for s, gram in enumerate(sums.reshape(-1, width, width)):
+        if not (at == s).any():
+            continue
+        for i in range(width):
+            for j in range(i + 1, width):
+                size = float(np.sqrt(gram[i, i]) * np.sqrt(gram[j, j]))
+                out.append((int(reps[s // k]), s % k, features[i], features[j], abs(float(gram[i, j]) / size) if size else 0.0))
+    return out
+
+
+def _joined_spearman(df: DataFrame, features: list[str], k: int, row_bound: int | None, fill: DataFrame, rank: DataFrame) -> DataFrame:
+    """(rep, fold, a, b, rho) where the distinct values are too many to look them up: ranks packed into one array per value and joined
+    to the rows once; common values (flags, codes, missing) are broadcast."""
     long = FS.long_values(df, features, ("rep", "fold", ID)).withColumn("missing", F.col("value").isNull())
     seen = long.groupBy("rep", "feature", "value", "missing").agg(F.count("*").alias("rows"))
     folds = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold")

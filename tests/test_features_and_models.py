@@ -33,6 +33,26 @@ def test_hot_values_and_ranges_give_the_same_correlations(spark, monkeypatch):
     assert plain.keys() == ranged.keys() and all(math.isclose(plain[k], ranged[k], abs_tol=1e-9) for k in plain)
 
 
+def test_rank_correlation_looks_ranks_up_without_shuffling_rows(spark, monkeypatch):
+    """Joined, in one pass and in a pass a repeat: the same, missing values and a repeated id too; no task is handed the rows by id."""
+    import re
+
+    from riskbench.operators import selection as SEL
+
+    rows = [(i, i % 2, rep, i * (rep + 1) % 3, float(i % 7) if i % 5 else None, float(i * i % 11), 1.0) for i in [7, 11, *range(60)] for rep in range(2)]
+    df = spark.createDataFrame(rows, "record_id long, y int, rep int, fold int, a double, b double, c double")
+    names, seen = ["a", "b", "c"], {}
+    for most in (10**6, 60, 0):
+        monkeypatch.setattr(SEL, "MOST_RANKS", most)
+        seen[most] = {(r["rep"], r["fold"], r["a"], r["b"]): r["rho"] for r in SEL.train_spearman(df, names, "y", 3).collect()}
+    assert len(seen[0]) == 2 * 3 * 3 and max(seen[0].values()) > 0.1
+    for most in (10**6, 60):
+        assert seen[most].keys() == seen[0].keys() and all(math.isclose(seen[most][k], v, abs_tol=1e-12) for k, v in seen[0].items())
+    once = spark.createDataFrame(rows[4:], df.schema)
+    plan = SEL._merged(once, names, 0)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange|Join", plan)
+
+
 def test_chain_subsets():
     assert X.closed_chain(3, 4) == [] and X.closed_chain(3, 3) == [(0, 1, 2)]
     assert X.closed_chain(4, 2) == [(0, 1), (1, 2), (2, 3), (3, 0)]
